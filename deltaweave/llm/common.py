@@ -33,6 +33,7 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what was just written
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

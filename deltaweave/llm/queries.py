@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .embedding_dedup import near_duplicates
+from .line_dedup import dedup_lines
 from .mixing import mix
+from .ngram_join import similar_sets
 from .packing import pack
 from .quality import THRESHOLD, held_out, learn, score_documents
 from .token_store import token_round_trip
@@ -22,6 +24,10 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
@@ -36,6 +42,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "lines_in", "lines_out", "text")
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -49,7 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages")).select(*cols)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_top_k, op3_quality, op5_token_store, op6_packing, op8_embedding_dedup, op9_mixing, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_top_k, op2_ngram_join, op3_quality, op5_token_store, op6_packing, op7_line_dedup, op8_embedding_dedup, op9_mixing, op10_warc)}
 
 ORACLES = {
     "op1_top_k": """
@@ -61,6 +72,19 @@ ORACLES = {
             FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
         SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 10""",
+    "op2_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM w),
+        g AS (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM s),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.k = b.k AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM s JOIN c ON c.a = s.doc_id""",
     "op8_embedding_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
