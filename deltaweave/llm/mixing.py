@@ -103,6 +103,10 @@ def shard_counts(quota: np.ndarray, shard: int, shards: int, slots: int, seed: i
     return counts, before
 
 
+def _row_key():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text"))
+
+
 class Mixture:
     """The parts of a mix: ``rows`` (documents with offsets), ``sources``, ``slots`` and what each document gives."""
 
@@ -112,7 +116,7 @@ class Mixture:
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"),
+            _row_key().alias("key"),
         )
         self.base = base = staged(base, "mix-sizes")
         per_source = [(r["source"], r["size"], r["docs"]) for r in base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()]
@@ -136,9 +140,9 @@ class Mixture:
         totals = named.groupBy("sid", "chunk").agg(F.sum("size").alias("words"))
         before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         firsts = totals.select("sid", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first"))
-        within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         placed = named.withColumn("start", F.sum("size").over(within) - F.col("size")).join(firsts, ["sid", "chunk"])
-        return staged(placed.select("doc_id", "text_hash", "size", "sid", "source_size", "target", (F.col("start") + F.col("first")).alias("start")), "mix-rows")
+        return staged(placed.select("doc_id", "key", "size", "sid", "source_size", "target", (F.col("start") + F.col("first")).alias("start")), "mix-rows")
 
     def _slots(self, blocks: np.ndarray, quota: np.ndarray, shard_slots: int, seed: int) -> DataFrame:
         shards = max(1, -(-int(quota.sum()) // shard_slots))
@@ -181,14 +185,11 @@ class Mixture:
         hits = self.pieces().join(self.slots.select("sid", "block", "pass"), ["sid", "block"])
         # Bounded by one document's blocks.
         spans = hits.groupBy("sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-        chosen = spans.join(self.rows.select("sid", "start", "doc_id", "text_hash", F.col("size").alias("words")), ["sid", "start"])
-        chosen = chosen.withColumn("sole", F.row_number().over(Window.partitionBy("sid", "doc_id", "text_hash", "pass").orderBy("start")))
-        numbered = docs.withColumns({"_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), "_source": F.col("source").cast("string")})
-        numbered = numbered.join(F.broadcast(self.sources.select(F.col("sid").alias("_sid"), F.col("source").alias("_name"))), F.col("_source").eqNullSafe(F.col("_name")))
-        numbered = numbered.withColumn("_row", F.row_number().over(Window.partitionBy("_sid", "doc_id", "_hash").orderBy(F.lit(1))))
-        keys = chosen.select(F.col("sid").alias("_sid2"), F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash2"), F.col("sole").alias("_row2"), "spans", "words", "pass")
-        same = (F.col("_sid") == F.col("_sid2")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_hash2")) & (F.col("_row") == F.col("_row2"))
-        joined = numbered.join(keys, same).drop("_hash", "_source", "_sid", "_name", "_row", "_sid2", "_doc", "_hash2", "_row2")
+        chosen = spans.join(self.rows.select("sid", "start", "key", F.col("size").alias("words")), ["sid", "start"])
+        chosen = chosen.select(F.col("key").alias("_key"), "spans", "words")
+        # Identical rows are numbered on the partitioning that the join needs; each takes its own spans from one of them.
+        once = docs.withColumn("_key", _row_key()).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))).where("_nth = 1").drop("_nth")
+        joined = once.join(chosen, "_key").drop("_key")
         names = [f.name for f in docs.schema.fields]
 
         def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +210,7 @@ class Mixture:
                         continue
                     at = [m.span() for m in word.finditer(text)]
                     texts.append("\n".join(text[at[lo][0] : at[hi - 1][1]] for lo, hi in whole))
-                frame = frame.drop(columns=["spans", "words", "pass"])
+                frame = frame.drop(columns=["spans", "words"])
                 frame["text"] = texts
                 if "n_chars" in frame:
                     frame["n_chars"] = [len(t) for t in texts]

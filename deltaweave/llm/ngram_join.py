@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import staged
 from .components import connected_components
@@ -295,6 +296,9 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with their own columns, that are the least of their component (repeated doc_ids: one row stays)."""
-    chosen = similar_sets(docs.select("doc_id", "text"), n, percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The documents, with their own columns, that are the least of their component (of rows with one doc_id, one stays)."""
+    chosen = similar_sets(docs.select("doc_id", "text"), n, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))  # on the join's partitioning
+    one = kept.withColumn("_nth", first).where("_nth = 1").drop("_nth")
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -14,6 +14,7 @@ from .mixing import mix
 from .ngram_join import similar_sets
 from .packing import pack
 from .quality import THRESHOLD, held_out, learn, score_documents
+from .quotes import link_quotes
 from .token_store import token_round_trip
 from .topk import scaled_rows, top_k
 from .warc import archive_round_trip
@@ -34,6 +35,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(spark, table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -60,7 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages")).select(*cols)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_top_k, op2_ngram_join, op3_quality, op5_token_store, op6_packing, op7_line_dedup, op8_embedding_dedup, op9_mixing, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_top_k, op2_ngram_join, op3_quality, op4_quote_links, op5_token_store, op6_packing, op7_line_dedup, op8_embedding_dedup, op9_mixing, op10_warc)}
 
 ORACLES = {
     "op1_top_k": """
