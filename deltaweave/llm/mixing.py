@@ -30,7 +30,7 @@ from .common import WORD, staged
 BLOCK, SHARD_SLOTS, SHARE, CAP, SEED = 64, 4096, 1.5, 2, 20240607
 WEIGHTS = (3, 1, 2)
 #: Documents of a chunk, about: the rows one task sorts for offsets.
-CHUNK_DOCS = 20_000
+CHUNK_DOCS = 2_000
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -174,7 +174,8 @@ class Mixture:
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target and the words that the mix takes of each document, repeats counted."""
-        times = self.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
+        # Slots come from a range, which Spark takes for small: without the hint it would broadcast them.
+        times = self.slots.groupBy("sid", "block").agg(F.count("*").alias("times")).hint("merge")
         words = self.pieces().join(times, ["sid", "block"]).groupBy("sid", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
         some = self.rows.where("size > 0").join(words, ["sid", "start"], "left")
         cols = ["doc_id", "size", "source_size", "target"]
@@ -182,7 +183,7 @@ class Mixture:
 
     def documents(self, docs: DataFrame) -> DataFrame:
         """The mix as documents: for each document and pass, the text between the words taken (white space kept)."""
-        hits = self.pieces().join(self.slots.select("sid", "block", "pass"), ["sid", "block"])
+        hits = self.pieces().join(self.slots.select("sid", "block", "pass").hint("merge"), ["sid", "block"])
         # Bounded by one document's blocks.
         spans = hits.groupBy("sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
         chosen = spans.join(self.rows.select("sid", "start", "key", F.col("size").alias("words")), ["sid", "start"])
