@@ -186,7 +186,7 @@ class Mixture:
         hits = self.pieces().join(self.slots.select("sid", "block", "pass").hint("merge"), ["sid", "block"])
         # Bounded by one document's blocks.
         spans = hits.groupBy("sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-        chosen = spans.join(self.rows.select("sid", "start", "key", F.col("size").alias("words")), ["sid", "start"])
+        chosen = spans.join(self.rows.where("size > 0").select("sid", "start", "key", F.col("size").alias("words")), ["sid", "start"])
         chosen = chosen.select(F.col("key").alias("_key"), "spans", "words")
         # Identical rows are numbered on the partitioning that the join needs; each takes its own spans from one of them.
         once = docs.withColumn("_key", _row_key()).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))).where("_nth = 1").drop("_nth")
