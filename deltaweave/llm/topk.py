@@ -178,7 +178,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, buckets: int = BUCKE
                 found = search_block(*_matrix(r.ids, r.m), *_matrix(r.q_ids, r.q_m), np.frombuffer(r.theta, dtype="<f8"), k)
                 yield pd.DataFrame({"query_id": found[0], "vec_id": found[1], "score": found[2]}, dtype="int64")
 
-    cells = visits.join(held.select("dim", "bucket", "block", "ids", "m"), ["dim", "bucket", "block"])
+    cells = visits.hint("merge").join(held.select("dim", "bucket", "block", "ids", "m"), ["dim", "bucket", "block"])
     hits = cells.mapInPandas(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
