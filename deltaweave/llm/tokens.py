@@ -51,7 +51,7 @@ class _Memo(dict):
         self.lib, self.model, self.letters = lib, lib.model, _byte_letters()
 
     def __missing__(self, unit: str) -> bytes | None:
-        if unit != "\n" and (not unit or unit[-1].isspace()):
+        if unit != "\n" and (not unit or unit[-1].isspace() or (unit[0].isspace() and unit[0] != " ")):
             self[unit] = None  # white space next to white space: the text is encoded whole
             return None
         at = _LETTERS.match(unit)
