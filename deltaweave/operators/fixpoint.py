@@ -37,8 +37,8 @@ def fixpoint(seeds: dict[str, ZSet | None], step: Step, linear: bool = True, max
             if z is None:
                 continue
             new = z.distinct()
-            for part in found[k]:
-                new = new.antijoin(part, new.cols)
+            if found[k]:  # one join, on the partitioning that the grouping made
+                new = new.antijoin(_union(found[k]), new.cols)
             new = ZSet(stage(new.df), new.cols, True, new.ctx)
             if new.df.isEmpty():
                 if found[k]:
