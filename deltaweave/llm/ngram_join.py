@@ -34,28 +34,38 @@ from pyspark.sql import Window
 from .common import staged
 from .components import connected_components
 from .mixing import _mix64
-from .runs import bounds, runs
 
-SKETCH_BITS = 20
-_MEMO: dict[bytes, int] = {}
-_MEMO_WORDS = 1_000_000
+SKETCH_BITS, WANTED_BITS = 20, 20
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random 64-bit number for each byte, and the odd base of the polynomial over them.
+_BYTE = _mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51))
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(1 << (n - 1).bit_length(), base, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words, A-Z lower-cased."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and ASCII white space only
-    memo = _MEMO
-    try:
-        return np.fromiter((memo[w] for w in words), dtype=np.uint64, count=len(words))
-    except KeyError:
-        if len(memo) > _MEMO_WORDS:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter((memo[w] for w in words), dtype=np.uint64, count=len(words))
+    """64-bit hashes of the words, A-Z lower-cased: differences of one running polynomial over the text's bytes."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)  # bytes: only A-Z change
+    space = np.empty(len(data) + 2, dtype=bool)
+    space[0] = space[-1] = True
+    space[1:-1] = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return _mix64((total[ends] - total[starts]) * down[starts])
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -200,7 +210,31 @@ def _reachable(t: int, nx: str, px: str, ny: str, py: str) -> Column:
     return (F.least(x, y) * 100 >= F.greatest(x, y) * t) & (rest + F.least(px, py) >= _need(x, y, t))
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, shingles) of ``wanted`` (node, rep), from the texts of their representatives.
+
+    A first filter by hash buckets (at most 2**WANTED_BITS numbers, so it may be broadcast) keeps most other texts out of
+    the exact join's shuffle; were all buckets wanted, it would only filter nothing.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                found = [s for s in (shingle_set(x, n) for x in batch.column("text").slice(i, 500).to_pylist()) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], type=pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], type=pa.binary())], names=["node", "shingles"])
+
+    def bucket(c: str) -> Column:
+        return F.xxhash64(c).bitwiseAND((1 << WANTED_BITS) - 1)
+
+    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    near = rows.withColumn("bucket", bucket("doc_id")).join(F.broadcast(ids.select(bucket("doc_id").alias("bucket")).distinct()), "bucket", "left_semi").select("doc_id", "text")
+    texts = near.join(ids, "doc_id", "left_semi")
+    sets = texts.select("text").mapInArrow(whole, "node long, shingles binary")
+    return staged(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "ngram-sets")
+
+
+def _overlaps(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """pairs (a, b) with the exact size of their sets and intersection."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +249,12 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both.append(int((q[at] == p).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(x, type=pa.int64()), pa.array(y, type=pa.int64()), pa.array(both, type=pa.int64())], names=["a", "b", "na", "nb", "both"])
 
+    pairs = staged(pairs.select("a", "b"), "ngram-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
+    sets = _whole_sets(docs, wanted, n)
     at_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     at_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(at_a, "a").join(at_b, "b").select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long, na long, nb long, both long")
+    return pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long, na long, nb long, both long")
 
 
 def _linked(t: int) -> Column:
@@ -229,19 +266,7 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     t = percent
     signatures, classes = _signatures(docs, n)
     lists = _postings(docs, n, t, classes)
-    nodes = signatures.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-
-    # The whole sets of the nodes that share a list with another one.
-    wanted = lists.select("node").distinct().join(nodes, "node").select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                found = [s for s in (shingle_set(x, n) for x in batch.column("text").slice(i, 500).to_pylist()) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], type=pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], type=pa.binary())], names=["node", "shingles"])
-
-    sets = staged(texts.select("text").mapInArrow(whole, "node long, shingles binary").dropDuplicates(["node"]), "ngram-sets")
+    nodes = staged(signatures.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "ngram-nodes")
 
     # Pivots: the entry of least position in each list and size class answers first.
     sized = lists.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(t / 100))))
@@ -250,7 +275,7 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     stars = stars.groupBy("node", "pivot").agg(F.count("*").alias("lists"), F.first("n").alias("n"), F.first("pn").alias("pn"))
     stars = stars.where(F.col("lists") * 2 >= _need(F.col("n"), F.col("pn"), t) - at_least(F.greatest("n", "pn"), t) + 1)
     best = stars.groupBy("node").agg(F.max(F.struct("lists", "pivot")).alias("p")).select(F.col("node").alias("a"), F.col("p.pivot").alias("b"))
-    answers = staged(_overlaps(best, sets).where(_linked(t)), "ngram-answers")
+    answers = staged(_overlaps(best, docs, nodes, n).where(_linked(t)), "ngram-answers")
     components = connected_components(answers)
 
     # Leaders: a set's verified pivot, if that pivot is not led itself.
@@ -273,7 +298,7 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     meets = x.join(y, "token").where((F.col("x_leader") < F.col("y_leader")) & (F.col("x_component") != F.col("y_component")) & sizes_meet & in_reach)
     meets = meets.groupBy(F.col("x_leader").alias("a"), F.col("y_leader").alias("b")).agg(F.count("*").alias("lists"), F.first("x_radius").alias("ra"), F.first("y_radius").alias("rb"), F.first(least - at_least(F.greatest("x_hi", "y_hi"), t) + 1).alias("least"))
     meets = staged(meets.where("lists >= least"), "ngram-meets")  # a pair must share so many prefix shingles
-    measured = _overlaps(meets, sets).withColumn("d", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
+    measured = _overlaps(meets, docs, nodes, n).withColumn("d", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
     measured = staged(measured.join(meets.select("a", "b", "ra", "rb"), ["a", "b"]), "ngram-measured")
     linked = measured.where(_linked(t)).select("a", "b")
     open_pairs = measured.where(~_linked(t)).where((F.col("ra") + F.col("rb") > 0) & (F.col("d") <= 1 - t / 100 + F.col("ra") + F.col("rb") + 1e-9)).select("a", "b", F.col("d").alias("dab"))
@@ -286,7 +311,7 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     fine = one.join(my, (one["token"] == my["token"]) & (F.col("b") == F.col("y_leader"))).where(F.col("dab") - F.col("x_d") - F.col("y_d") <= 1 - t / 100 + 1e-9).where(_reachable(t, "x_n", "x_pos", "y_n", "y_pos"))
     fine = fine.groupBy("x_node", "y_node").agg(F.count("*").alias("lists"), F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
     fine = fine.where(F.col("lists") >= _need(F.col("x_n"), F.col("y_n"), t) - at_least(F.greatest("x_n", "y_n"), t) + 1).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
-    more = _overlaps(fine, sets).where(_linked(t)).select("a", "b")
+    more = _overlaps(fine, docs, nodes, n).where(_linked(t)).select("a", "b")
 
     final = connected_components(answers.select("a", "b").union(linked).union(more))
     placed = nodes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
