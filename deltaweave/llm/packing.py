@@ -1,7 +1,7 @@
 """Packing documents into fixed windows by Karmarkar-Karp multiway differencing.
 
-Every document is cut into full windows and a remainder. Remainders are gathered, in groups of bounded size, and each
-group is divided over k = ceil(tokens / window) windows: every remainder begins as a partial k-way partition, the two
+Every document is cut into full windows and a remainder, and remainders into pieces of at most a third of a window, since
+small parts balance better. Pieces are gathered, in groups of bounded size, and each group is divided over k = ceil(tokens / window) windows: every piece begins as a partial k-way partition, the two
 partial partitions with the widest spread are merged largest against smallest, and the difference is kept, until one
 partition is left. If a window exceeds the capacity, k rises by one and the group is divided again.
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .tokens import default_vocabulary, encode_documents
 
 WINDOW = 1024
-#: Remainders divided together; bounds the time and memory of one differencing.
-GROUP = 512
+#: Pieces divided together; bounds the time and memory of one differencing.
+GROUP = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -93,6 +93,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, g
     vocabulary = vocabulary or default_vocabulary()
     kinds = [(f.split()[0], pa.int64()) for f in PIECES.split(", ")] + [("ids", pa.binary())] * with_ids
 
+    third = max(1, window // 3)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -129,8 +131,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, g
                 for start in range(0, full, window):
                     out.append(piece(doc_id, ids[4 * start : 4 * (start + window)], start, window, total, sequence, 0))
                     sequence += 1
-                if total > full:
-                    rest.append((doc_id, ids[4 * full :], full, total))
+                for start in range(full, total, third):
+                    rest.append((doc_id, ids[4 * start : 4 * (start + third)], start, total))
                 if len(rest) >= group:
                     settle()
                 if len(out) >= 20_000:
