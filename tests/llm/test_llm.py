@@ -326,10 +326,10 @@ def test_simhash_is_the_majority_of_the_words(spark):
     rng = random.Random(11)
     lines = [prose(rng, rng.randint(1, 40)) for _ in range(30)] + ["a a a b", "x | y | z", "w " * 3000 + "v"]
     df = spark.createDataFrame(list(enumerate(lines)), "i int, norm string")
-    words = sorted({w for x in lines for w in x.split(" ") if w.strip("|")})
+    words = sorted({w for x in lines for w in x.split(" ")})
     h = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
     for r in line_dedup.simhashes(df, ["i"], "norm").collect():
-        own = {w for w in lines[r["i"]].split(" ") if w in h}
+        own = set(lines[r["i"]].split(" "))
         want = sum(1 << b for b in range(64) if 2 * sum(h[w] >> b & 1 for w in own) > len(own))
         assert r["sim"] & (2**64 - 1) == want
 
