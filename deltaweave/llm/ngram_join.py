@@ -36,6 +36,8 @@ from .components import connected_components
 from .mixing import _mix64
 
 SKETCH_BITS, WANTED_BITS = 20, 20
+#: Shared shingles that are asked of the shortest prefixes which must share that many.
+AHEAD = 2
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A random 64-bit number for each byte, and the odd base of the polynomial over them.
@@ -295,9 +297,17 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     sizes_meet = (F.col("x_hi") * 100 >= F.col("y_lo") * t) & (F.col("y_hi") * 100 >= F.col("x_lo") * t)
     least = _need(F.col("x_lo"), F.col("y_lo"), t)
     in_reach = F.least(F.col("x_hi") - F.col("x_pos"), F.col("y_hi") - F.col("y_pos")) + F.least("x_far", "y_far") >= least
-    meets = x.join(y, "token").where((F.col("x_leader") < F.col("y_leader")) & (F.col("x_component") != F.col("y_component")) & sizes_meet & in_reach)
-    meets = meets.groupBy(F.col("x_leader").alias("a"), F.col("y_leader").alias("b")).agg(F.count("*").alias("lists"), F.first("x_radius").alias("ra"), F.first("y_radius").alias("rb"), F.first(least - at_least(F.greatest("x_hi", "y_hi"), t) + 1).alias("least"))
-    meets = staged(meets.where("lists >= least"), "ngram-meets")  # a pair must share so many prefix shingles
+    # Of two sets with overlap >= least, the first n - least + AHEAD shingles of each share AHEAD (fewer where a list ends before).
+    early = (F.col("x_pos") < F.col("x_hi") - least + AHEAD) & (F.col("y_pos") < F.col("y_hi") - least + AHEAD)
+    share = F.least(F.lit(AHEAD), least + 1 - at_least(F.col("x_hi"), t), least + 1 - at_least(F.col("y_hi"), t))
+    meets = x.join(y, "token").where((F.col("x_leader") < F.col("y_leader")) & (F.col("x_component") != F.col("y_component")) & sizes_meet & in_reach & early)
+    meets = meets.groupBy(F.col("x_leader").alias("a"), F.col("y_leader").alias("b")).agg(F.count("*").alias("early"), F.first(share).alias("share"), F.first("x_radius").alias("ra"), F.first("y_radius").alias("rb"), F.first(least - at_least(F.greatest("x_hi", "y_hi"), t) + 1).alias("least"))
+    meets = staged(meets.where("early >= share"), "ngram-early")
+    # Those few are counted over their whole prefixes: a pair must share ``least`` of them.
+    of_a = entries.select(F.col("leader").alias("a"), "token")
+    of_b = entries.select(F.col("leader").alias("b"), "token")
+    shared = meets.select("a", "b").join(of_a, "a").join(of_b, ["b", "token"]).groupBy("a", "b").agg(F.count("*").alias("lists"))
+    meets = staged(meets.join(shared, ["a", "b"]).where("lists >= least").select("a", "b", "ra", "rb"), "ngram-meets")
     measured = _overlaps(meets, docs, nodes, n).withColumn("d", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
     measured = staged(measured.join(meets.select("a", "b", "ra", "rb"), ["a", "b"]), "ngram-measured")
     linked = measured.where(_linked(t)).select("a", "b")
