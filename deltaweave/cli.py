@@ -10,12 +10,12 @@ from .lang.errors import ProgramError
 from .lang.syntax import Program, parse
 
 
-def load(paths: list[str]) -> Program:
-    """Programs of files and, for folders, of all ``*.flow`` and ``*.gdbsp`` files below; declarations are put together."""
+def load(paths: list[str], suffix: str = ".flow") -> Program:
+    """Programs of files and, for folders, of all files below with the suffix; declarations are put together."""
     files: list[Path] = []
     for p in map(Path, paths):
         if p.is_dir():
-            files += sorted(x for x in p.rglob("*") if x.suffix in (".flow", ".gdbsp"))
+            files += sorted(p.rglob(f"*{suffix}"))
         elif p.is_file():
             files.append(p)
         else:
@@ -50,7 +50,7 @@ def run(args: argparse.Namespace) -> None:
     inputs, outputs = dict(map(pair, args.input or [])), dict(map(pair, args.output or []))
     if not outputs:
         raise ProgramError("no_output", "--output NAME=DEST is wanted")
-    program = load(args.sources)
+    program = load(args.sources, args.suffix)
     spark = session()
     plan = Plan(program)
     if unknown := [t for t in inputs if t not in plan.sources]:
@@ -97,6 +97,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--output", action="append", required=True, metavar="NAME")
     p.add_argument("--listen", default="127.0.0.1:8080")
     p.add_argument("sources", nargs="+")
+    for p in sub.choices.values():
+        p.add_argument("--suffix", default=".flow", help="which files of a folder are programs")
     args = top.parse_args(argv)
     try:
         if args.command == "run":
@@ -104,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             from .plans.circuit import Plan
 
-            program = load(args.sources)
+            program = load(args.sources, args.suffix)
             spark = session()
             plan = Plan(program)
             if args.command == "graph":
