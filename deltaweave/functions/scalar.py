@@ -76,10 +76,8 @@ def _divide(t: Type, a: Val, b: Val) -> Val:
 
 
 def _int_div(x: Column, y: Column) -> Column:
-    """Truncating division of bigints: exact, by the remainder."""
-    safe = F.when((y == 0) | (y == -1), F.lit(1).cast("long")).otherwise(y.cast("long"))
-    d = x.cast("long").cast(_WIDE)
-    return ((d - (x.cast("long") % safe).cast(_WIDE)) / safe.cast(T.DecimalType(20, 0))).cast("long")
+    """Truncating division of bigints; divisors 0 and -1 are the caller's."""
+    return F.call_function("div", x.cast("long"), F.when((y == 0) | (y == -1), F.lit(1).cast("long")).otherwise(y.cast("long")))
 
 
 def _mod(t: Type, a: Val, b: Val) -> Val:
