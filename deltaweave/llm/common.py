@@ -49,6 +49,19 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """Column names that ``df`` doesn't have, in whatever case, by what they are for."""
+    taken = {c.lower() for c in df.columns}
+    out: dict[str, str] = {}
+    for name in names:
+        made = f"dw_{name}"
+        while made in taken:
+            made += "_"
+        taken.add(made)
+        out[name] = made
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
