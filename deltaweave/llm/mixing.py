@@ -2,7 +2,7 @@
 
 1. Sizes (words) and sources are counted over all documents; targets come from the weights, stop at ``cap`` times a
    source's size, and the excess is reshared (water filling over the few source rows).
-2. The words of a source, in doc_id order, are cut into blocks of ``block`` words. Offsets are two-level prefix sums
+2. The words of a source, document after document in the order of hashes of their rows, are cut into blocks of ``block`` words. Offsets are two-level prefix sums
    (within hash chunks of bounded size, then over chunk totals), so a source that holds a third of all rows is spread
    over many tasks.
 3. Output shards of ``shard_slots`` slots get multinomial source counts, conditioned on every source's total: the slots
@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, fresh_names, staged
 
+SPACE, SPACES = r"[\x20\x09-\x0D]", " \t\n\v\f\r"
 BLOCK, SHARD_SLOTS, SHARE, CAP, SEED = 64, 4096, 1.5, 2, 20240607
 WEIGHTS = (3, 1, 2)
 #: Documents of a chunk, about: the rows one task sorts for offsets.
@@ -103,20 +104,22 @@ def shard_counts(quota: np.ndarray, shard: int, shards: int, slots: int, seed: i
     return counts, before
 
 
-def _row_key():
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text"))
+def _row_keys() -> list[Column]:
+    """Two 64-bit hashes by which a row is found again."""
+    row = (F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    return [F.xxhash64(*row), F.xxhash64(F.lit(1), *row)]
 
 
 class Mixture:
     """The parts of a mix: ``rows`` (documents with offsets), ``sources``, ``slots`` and what each document gives."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, keep_text: bool = False) -> None:
+    def __init__(self, spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> None:
         self.spark, self.block = spark, block
         base = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
-            F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            _row_key().alias("key"),
+            F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+            *(k.alias(n) for k, n in zip(_row_keys(), ("key", "key2"), strict=True)),
         )
         self.base = base = staged(base, "mix-sizes")
         per_source = [(r["source"], r["size"], r["docs"]) for r in base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()]
@@ -136,13 +139,13 @@ class Mixture:
         """Each document's first word within its source."""
         chunks = max(1, n_docs // CHUNK_DOCS + 1)
         named = self.base.join(F.broadcast(self.sources.select("sid", F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-        named = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+        named = named.withColumn("chunk", F.pmod("key", F.lit(chunks)))
         totals = named.groupBy("sid", "chunk").agg(F.sum("size").alias("words"))
         before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         firsts = totals.select("sid", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first"))
-        within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        within = Window.partitionBy("sid", "chunk").orderBy("key", "key2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         placed = named.withColumn("start", F.sum("size").over(within) - F.col("size")).join(firsts, ["sid", "chunk"])
-        return staged(placed.select("doc_id", "key", "size", "sid", "source_size", "target", (F.col("start") + F.col("first")).alias("start")), "mix-rows")
+        return staged(placed.select("doc_id", "key", "key2", "size", "sid", "source_size", "target", (F.col("start") + F.col("first")).alias("start")), "mix-rows")
 
     def _slots(self, blocks: np.ndarray, quota: np.ndarray, shard_slots: int, seed: int) -> DataFrame:
         shards = max(1, -(-int(quota.sum()) // shard_slots))
@@ -186,38 +189,29 @@ class Mixture:
         hits = self.pieces().join(self.slots.select("sid", "block", "pass").hint("merge"), ["sid", "block"])
         # Bounded by one document's blocks.
         spans = hits.groupBy("sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-        chosen = spans.join(self.rows.where("size > 0").select("sid", "start", "key", F.col("size").alias("words")), ["sid", "start"])
-        chosen = chosen.select(F.col("key").alias("_key"), "spans", "words")
+        names = fresh_names(docs, "key", "key2", "nth", "spans", "words", "whole", "from", "to", "tokens", "cut")
+        key, key2, nth, span, words, whole, first, last, tokens, cut = names.values()
+        chosen = spans.join(self.rows.where("size > 0").select("sid", "start", "key", "key2", F.col("size").alias(words)), ["sid", "start"])
+        chosen = chosen.select(F.col("key").alias(key), F.col("key2").alias(key2), F.col("spans").alias(span), words)
         # Identical rows are numbered on the partitioning that the join needs; each takes its own spans from one of them.
-        once = docs.withColumn("_key", _row_key()).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))).where("_nth = 1").drop("_nth")
-        joined = once.join(chosen, "_key").drop("_key")
-        names = [f.name for f in docs.schema.fields]
-
-        def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import re
-
-            word = re.compile(r"[^\x20\x09-\x0D]+")
-            for frame in frames:
-                texts = []
-                for text, spans, words in zip(frame["text"], frame["spans"], frame["words"], strict=True):
-                    whole: list[list[int]] = []
-                    for s in spans:
-                        if whole and whole[-1][1] == s["lo"]:
-                            whole[-1][1] = s["hi"]
-                        else:
-                            whole.append([s["lo"], s["hi"]])
-                    if whole == [[0, words]]:
-                        texts.append(text)
-                        continue
-                    at = [m.span() for m in word.finditer(text)]
-                    texts.append("\n".join(text[at[lo][0] : at[hi - 1][1]] for lo, hi in whole))
-                frame = frame.drop(columns=["spans", "words"])
-                frame["text"] = texts
-                if "n_chars" in frame:
-                    frame["n_chars"] = [len(t) for t in texts]
-                yield frame[names]
-
-        return joined.mapInPandas(cut, docs.schema)
+        once = docs.withColumns(dict(zip((key, key2), _row_keys(), strict=True)))
+        once = once.withColumn(nth, F.row_number().over(Window.partitionBy(key, key2).orderBy(F.lit(1)))).where(F.col(nth) == 1).drop(nth)
+        joined = once.join(chosen, [key, key2])
+
+        def computed(df: DataFrame, **columns: Column) -> DataFrame:
+            """Columns that are computed once for each row, whatever uses them."""
+            return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+        # Runs of adjacent spans become one; the words of a run keep the white space between them.
+        parts = F.col(span)
+        begins = F.filter(parts, lambda s, i: (i == 0) | (F.get(parts, i - 1)["hi"] != s["lo"]))
+        ends = F.filter(parts, lambda s, i: (i == F.size(parts) - 1) | (F.get(parts, i + 1)["lo"] != s["hi"]))
+        joined = computed(joined, **{first: F.transform(begins, lambda s: s["lo"].cast("int")), last: F.transform(ends, lambda s: s["hi"].cast("int")), whole: (F.size(parts) > 0) & (F.get(parts, F.lit(0))["lo"] == 0) & (F.element_at(parts, -1)["hi"] == F.col(words)) & (F.size(begins) == 1)})
+        joined = computed(joined, **{tokens: F.when(~F.col(whole), F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD + SPACE + "*"), F.lit(0)))})
+        run = F.zip_with(first, last, lambda lo, hi: F.rtrim(F.array_join(F.slice(tokens, lo + 1, hi - lo), ""), F.lit(SPACES)))
+        joined = computed(joined, **{cut: F.when(F.col(whole), F.col("text").cast("string")).otherwise(F.array_join(run, "\n"))})
+        made = {"text": F.col(cut)} | ({"n_chars": F.length(cut).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+        return joined.select(*(made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, **parameters) -> Mixture:

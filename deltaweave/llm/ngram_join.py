@@ -16,7 +16,7 @@ lost. All grouping is partial aggregation and equi-joins on shingles, nodes or p
 
 Defined cases: words are parted by ASCII white space and A-Z are lower-cased, nothing else; a text with fewer words than
 n is one shingle; a null or empty text has no shingle and links with nothing; repeated rows and doc_ids are documents of
-their own; empty tables give no row; other columns are ignored. Shingles are 64-bit hashes: two different shingles of
+their own; a null doc_id is never the least (a component of none but such has a null id); empty tables give no row; other columns are ignored. Shingles are 64-bit hashes: two different shingles of
 two compared texts coincide with probability below 1e-12.
 """
 
@@ -29,9 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import staged
+from .common import WORD, fresh_names, staged
 from .components import connected_components
 from .mixing import _mix64
 
@@ -98,14 +97,14 @@ def _need(nx: Column, ny: Column, t: int) -> Column:
 
 
 def _signatures(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, node) per document, and the frequency class of each sketch bucket."""
+    """(doc_id, text_hash, n_shingles, node) per document, and the frequency class of each sketch bucket."""
     size = 1 << SKETCH_BITS
     shift = np.uint64(64 - SKETCH_BITS)
     part = size >> 4
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, dtype=np.int64)
-        names = ["doc_id", "n_shingles", "node", "part", "counts"]
+        names = ["doc_id", "text_hash", "n_shingles", "node", "part", "counts"]
         for batch in batches:
             sizes, nodes, rows = [], [], []
             for text in batch.column("text").to_pylist():
@@ -116,11 +115,11 @@ def _signatures(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             if sizes:
                 counts += np.bincount(np.concatenate(rows), minlength=size)
                 k = len(sizes)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, type=pa.int64()), pa.array(nodes, type=pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, type=pa.int64()), pa.array(nodes, type=pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         for p in range(16):
             mine = counts[p * part : (p + 1) * part]
             if mine.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([p], type=pa.int32()), pa.array([mine.astype("<u4").tobytes()], type=pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([p], type=pa.int32()), pa.array([mine.astype("<u4").tobytes()], type=pa.binary())], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, dtype=np.int64)
@@ -131,13 +130,13 @@ def _signatures(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(counts[at[i : i + 100_000]])], names=["bucket", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = staged(rows.mapInArrow(first, "doc_id long, n_shingles long, node long, part int, counts binary"), "ngram-signatures")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    both = staged(rows.mapInArrow(first, "doc_id long, text_hash long, n_shingles long, node long, part int, counts binary"), "ngram-signatures")
     # Each task adds the sketches that it reads; 2**SKETCH_BITS sums reach the driver, whatever the input.
     sums = both.where("part is not null").select("part", "counts").mapInArrow(add, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     classes = np.zeros(size, dtype=np.uint8)
     classes[sums.column("bucket").to_numpy()] = np.floor(2 * np.log2(sums.column("n").to_numpy().astype(np.float64))).astype(np.uint8)
-    return both.where("part is null").select("doc_id", "n_shingles", "node"), classes
+    return both.where("part is null").select("doc_id", "text_hash", "n_shingles", "node"), classes
 
 
 def _postings(docs: DataFrame, n: int, t: int, classes: np.ndarray) -> DataFrame:
@@ -213,7 +212,7 @@ def _reachable(t: int, nx: str, px: str, ny: str, py: str) -> Column:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, shingles) of ``wanted`` (node, rep), from the texts of their representatives.
+    """(node, shingles) of ``wanted`` (node, text_hash), from texts of those hashes.
 
     A first filter by hash buckets (at most 2**WANTED_BITS numbers, so it may be broadcast) keeps most other texts out of
     the exact join's shuffle; were all buckets wanted, it would only filter nothing.
@@ -228,10 +227,10 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def bucket(c: str) -> Column:
         return F.xxhash64(c).bitwiseAND((1 << WANTED_BITS) - 1)
 
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    near = rows.withColumn("bucket", bucket("doc_id")).join(F.broadcast(ids.select(bucket("doc_id").alias("bucket")).distinct()), "bucket", "left_semi").select("doc_id", "text")
-    texts = near.join(ids, "doc_id", "left_semi")
+    ids = wanted.select("text_hash").distinct()
+    rows = docs.select(F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    near = rows.join(F.broadcast(ids.select(bucket("text_hash").alias("bucket")).distinct()), bucket("text_hash") == F.col("bucket"), "left_semi")
+    texts = near.join(ids, "text_hash", "left_semi")
     sets = texts.select("text").mapInArrow(whole, "node long, shingles binary")
     return staged(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "ngram-sets")
 
@@ -264,11 +263,11 @@ def _linked(t: int) -> Column:
 
 
 def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, node (class of equal sets), component_id (least doc_id reachable by links)."""
+    """doc_id, text_hash, n_shingles, node (class of equal sets), group (a node of its component), component_id (least doc_id reachable by links)."""
     t = percent
     signatures, classes = _signatures(docs, n)
     lists = _postings(docs, n, t, classes)
-    nodes = staged(signatures.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "ngram-nodes")
+    nodes = staged(signatures.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("text_hash")), "ngram-nodes")
 
     # Pivots: the entry of least position in each list and size class answers first.
     sized = lists.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(t / 100))))
@@ -311,29 +310,46 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     measured = _overlaps(meets, docs, nodes, n).withColumn("d", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
     measured = staged(measured.join(meets.select("a", "b", "ra", "rb"), ["a", "b"]), "ngram-measured")
     linked = measured.where(_linked(t)).select("a", "b")
-    open_pairs = measured.where(~_linked(t)).where((F.col("ra") + F.col("rb") > 0) & (F.col("d") <= 1 - t / 100 + F.col("ra") + F.col("rb") + 1e-9)).select("a", "b", F.col("d").alias("dab"))
-
-    # Members of undecided leader pairs, where the triangle inequality leaves a link possible.
-    members = lists.join(known.select("node", "leader", "d"), "node")
-    mx = members.select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "leader", "d")))
-    my = members.select("token", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "leader", "d")))
-    one = open_pairs.join(mx, F.col("a") == F.col("x_leader"))
-    fine = one.join(my, (one["token"] == my["token"]) & (F.col("b") == F.col("y_leader"))).where(F.col("dab") - F.col("x_d") - F.col("y_d") <= 1 - t / 100 + 1e-9).where(_reachable(t, "x_n", "x_pos", "y_n", "y_pos"))
+    # Pairs whose components have met meanwhile need no answer.
+    met = connected_components(answers.select("a", "b").unionByName(linked))
+    at = lambda s: met.select(F.col("node").alias(f"{s}_"), F.col("component").alias(f"c{s}"))
+    slack = 1 - t / 100 + 1e-9
+    open_pairs = measured.where(~_linked(t) & (F.col("ra") + F.col("rb") > 0) & (F.col("d") <= slack + F.col("ra") + F.col("rb")))
+    open_pairs = open_pairs.join(at("a"), F.col("a") == F.col("a_"), "left").join(at("b"), F.col("b") == F.col("b_"), "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    open_pairs = staged(open_pairs.select("a", "b", F.col("d").alias("dab"), "ra", "rb"), "ngram-open")
+
+    # Members of undecided leader pairs that are far enough from their leader for a link by the triangle inequality.
+    def members(s: str, leader: str, other: str) -> DataFrame:
+        who = known.select(F.col("node").alias(f"{s}_node"), F.col("leader").alias(f"{s}_leader"), F.col("d").alias(f"{s}_d"))
+        far = open_pairs.join(who, (F.col(leader) == F.col(f"{s}_leader")) & (F.col("dab") - F.col(f"{s}_d") - F.col(other) <= slack)).select("a", "b", "dab", f"{s}_node", f"{s}_d")
+        own = lists.select("token", F.col("node").alias(f"{s}_node"), F.col("n").alias(f"{s}_n"), F.col("pos").alias(f"{s}_pos"))
+        return far.join(own, f"{s}_node")
+
+    fine = members("x", "a", "rb").join(members("y", "b", "ra").drop("dab"), ["a", "b", "token"]).where((F.col("dab") - F.col("x_d") - F.col("y_d") <= slack) & _reachable(t, "x_n", "x_pos", "y_n", "y_pos"))
     fine = fine.groupBy("x_node", "y_node").agg(F.count("*").alias("lists"), F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
     fine = fine.where(F.col("lists") >= _need(F.col("x_n"), F.col("y_n"), t) - at_least(F.greatest("x_n", "y_n"), t) + 1).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
     more = _overlaps(fine, docs, nodes, n).where(_linked(t)).select("a", "b")
 
     final = connected_components(answers.select("a", "b").union(linked).union(more))
-    placed = nodes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
-    least_id = placed.groupBy("c").agg(F.min("rep").alias("component_id"))
-    classes_of = placed.join(least_id, "c").select(F.col("node").alias("n2"), "component_id")
-    return signatures.join(classes_of, F.col("node") == F.col("n2"), "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = nodes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("group"))
+    least_id = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
+    classes_of = placed.join(least_id, "group").select(F.col("node").alias("n2"), "group", "component_id")
+    out = signatures.join(classes_of, F.col("node") == F.col("n2"), "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "node", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with their own columns, that are the least of their component (of rows with one doc_id, one stays)."""
-    chosen = similar_sets(docs.select("doc_id", "text"), n, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))  # on the join's partitioning
-    one = kept.withColumn("_nth", first).where("_nth = 1").drop("_nth")
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The documents, with their own columns: one of each component, and those that have no words.
+
+    It is the one of least doc_id (rows without one come last), then of least text hash; of rows of equal doc_id and text,
+    one (rows without doc_id and words all stay).
+    """
+    found = similar_sets(docs.select("doc_id", "text"), n, percent).where("node is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    names = fresh_names(docs, "id", "hash")
+    chosen = found.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("a"), F.col("first.text_hash").alias("b"))
+    own = docs.withColumns({names["id"]: F.col("doc_id").cast("long"), names["hash"]: F.xxhash64(F.col("text").cast("string"))})
+    words = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    kept = own.where(words).join(chosen, F.col(names["id"]).eqNullSafe(F.col("a")) & (F.col(names["hash"]) == F.col("b")), "left_semi")
+    kept = kept.unionByName(own.where(~words & F.col("doc_id").isNotNull())).dropDuplicates(list(names.values()))
+    return kept.drop(*names.values()).unionByName(docs.where(~words & F.col("doc_id").isNull()))

@@ -319,6 +319,31 @@ def test_quotes_against_brute_force(spark):
         assert got[c, t]["root_turn"] == root
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    rows = [(5, "alpha beta gamma delta epsilon zeta"), (5, "one two three four five six"), (6, "alpha beta gamma delta epsilon zeta"), (None, "only here and nowhere else at all"), (None, "only here and nowhere else at all"), (None, "one two three four five six"), (None, None), (7, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC).withColumns({c: F.lit("x") for c in ("_id", "_nth", "dw_id", "DW_hash", "node", "group")})
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[3], rows[6], rows[7]], key=str)
+
+
+def test_near_copies_on_either_side_of_the_threshold(spark):
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)] * 3
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [prose(rng, 50) for _ in range(20)]
+    sets = [set(zip(*(t.split()[k:] for k in range(4)))) for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_sets(docs_frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == parts(len(texts), links)
+
+
 # -- lines
 
 
