@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh_names, staged
+from .common import WORD, fresh_names, slices, staged
 from .components import connected_components
 from .mixing import _mix64
 
@@ -105,7 +105,7 @@ def _signatures(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, dtype=np.int64)
         names = ["doc_id", "text_hash", "n_shingles", "node", "part", "counts"]
-        for batch in batches:
+        for batch in slices(batches):
             sizes, nodes, rows = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, n)
@@ -147,7 +147,7 @@ def _postings(docs: DataFrame, n: int, t: int, classes: np.ndarray) -> DataFrame
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             nodes, sizes, heads = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, n)
@@ -239,7 +239,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int) -> Da
     """pairs (a, b) with the exact size of their sets and intersection."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x, y, both = [], [], []
             for p, q in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
                 p, q = np.frombuffer(p, dtype="<u8"), np.frombuffer(q, dtype="<u8")

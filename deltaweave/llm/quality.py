@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh_names, slices, staged
 
 SAMPLE, BINS, THRESHOLD, SEED = 20_000, 12, 0.7, 7
 
@@ -134,7 +134,7 @@ def _sample_features(rows: DataFrame, sample: int) -> np.ndarray:
     texts = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = _matrix(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(list(x.astype("<f4")), type=pa.list_(pa.float32()))], names=["x"])
 
@@ -160,24 +160,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     return fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else None
 
 
-def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``score`` in 0..1 for every row, by one pass over the whole texts."""
+def score_documents(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """``docs`` with a score in 0..1 for every row in the column ``name`` (which replaces one of that name), by one pass over the whole texts."""
+    docs = docs.drop(name)
     fields = [f.name for f in docs.schema.fields]
     if model is None:
-        return docs.withColumn("score", F.lit(1.0))
+        return docs.withColumn(name, F.lit(1.0))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = model.score(_matrix(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), pa.array(s, type=pa.float64())], names=[*fields, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in fields), pa.array(s, type=pa.float64())], names=[*fields, name])
 
-    schema = docs.limit(0).select(*fields).schema.add("score", "double")
+    schema = docs.limit(0).select(*(F.col(f"`{f}`") for f in fields)).schema.add(name, "double")
     return docs.mapInArrow(score, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier accepts, with their own columns."""
-    model = learn(docs, labels)
-    own = docs.withColumnRenamed("score", "score_") if "score" in docs.columns else docs
-    kept = score_documents(own, model).where(F.col("score") >= threshold).drop("score")
-    return kept.withColumnRenamed("score_", "score") if "score" in docs.columns else kept
+    """The documents that the classifier accepts, with their own columns, whatever their names."""
+    name = fresh_names(docs, "score")["score"]
+    return score_documents(docs, learn(docs, labels), name).where(F.col(name) >= threshold).drop(name)
