@@ -62,21 +62,23 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, bits: int = BITS,
                     codes[i] = c
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h1"), batch.column("h2"), batch.column("rep"), batch.column("copies"), col, pa.array(dims.astype(np.int32)), pa.array(codes, type=pa.list_(pa.int32()))], names=["label", "h1", "h2", "rep", "copies", "embedding", "dim", "codes"])
 
-    classes = staged(classes.mapInArrow(hash_signs, "label long, h1 long, h2 long, rep long, copies long, embedding array<double>, dim int, codes array<int>"), "embedding-classes")
-    entries = classes.select("label", "dim", F.col("rep").alias("key_rep"), "h1", F.posexplode("codes").alias("t", "code"))
+    classes = classes.mapInArrow(hash_signs, "label long, h1 long, h2 long, rep long, copies long, embedding array<double>, dim int, codes array<int>")
+    # A class has a number of its own, as its vec_ids may occur in others too; it is staged, so it stays what it is.
+    classes = staged(classes.withColumn("class", F.monotonically_increasing_id()), "embedding-classes")
+    entries = classes.select("label", "dim", F.col("class").alias("of"), "h1", F.posexplode("codes").alias("t", "code"))
     met = entries.groupBy("label", "dim", "t", "code").agg(F.count("*").alias("n")).where("n > 1")
     entries = entries.join(met, ["label", "dim", "t", "code"])
     entries = entries.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("own", F.pmod(F.col("h1"), F.col("chunks")).cast("int"))
-    tiles = entries.select("label", "dim", "t", "code", "key_rep", "h1", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    tiles = tiles.select("label", "dim", "t", "code", "key_rep", "h1", "own", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"))
-    payload = classes.select(F.col("label").alias("l2"), F.col("rep").alias("rep"), F.col("h1").alias("g1"), "copies", "embedding", "codes")
-    tiles = tiles.join(payload, (F.col("label") == F.col("l2")) & (F.col("key_rep") == F.col("rep")) & (F.col("h1") == F.col("g1"))).select("label", "dim", "t", "code", "ta", "tb", "own", "rep", "copies", "embedding", "codes")
+    tiles = entries.select("label", "dim", "t", "code", "of", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    tiles = tiles.select("label", "dim", "t", "code", "of", "own", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"))
+    payload = classes.select("class", "copies", "embedding", "codes")
+    tiles = tiles.join(payload, F.col("of") == F.col("class")).select("label", "dim", "t", "code", "ta", "tb", "own", "class", "copies", "embedding", "codes")
     keys = ["label", "dim", "t", "code", "ta", "tb"]
     dealt = tiles.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, keys):
-            reps, copies, own = (table.column(c).to_numpy() for c in ("rep", "copies", "own"))
+            reps, copies, own = (table.column(c).to_numpy() for c in ("class", "copies", "own"))
             ta, tb, t = (table.column(c).to_numpy() for c in ("ta", "tb", "t"))
             rep_out: list[int] = []
             adds: list[int] = []
@@ -106,13 +108,15 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, bits: int = BITS,
                     adds.append(0)
                     to.append(int(reps[s + q]))
             if rep_out:
-                yield pa.RecordBatch.from_arrays([pa.array(rep_out, type=pa.int64()), pa.array(adds, type=pa.int64()), pa.array(to, type=pa.int64())], names=["rep", "links", "other"])
-
-    found = staged(dealt.mapInArrow(compare, "rep long, links long, other long"), "embedding-links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    summary = classes.select("label", "h1", "h2", "rep", "copies").join(links, "rep", "left").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    summary = summary.select(F.col("label").alias("l2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+                yield pa.RecordBatch.from_arrays([pa.array(rep_out, type=pa.int64()), pa.array(adds, type=pa.int64()), pa.array(to, type=pa.int64())], names=["class", "links", "other"])
+
+    found = staged(dealt.mapInArrow(compare, "class long, links long, other long"), "embedding-links")
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    parts = connected_components(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
+    summary = classes.select("label", "h1", "h2", "rep", "copies", "class").join(links, "class", "left").join(parts.select(F.col("node").alias("class"), "component"), "class", "left")
+    summary = summary.withColumn("component", F.coalesce("component", "class"))
+    least = summary.groupBy("component").agg(F.min("rep").alias("least"))
+    summary = summary.join(least, "component").select(F.col("label").alias("l2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("least").alias("component_id"))
     out = base.join(summary, F.col("usable") & (F.col("label") == F.col("l2")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), "label")
     return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "label")

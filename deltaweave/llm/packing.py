@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .tokens import default_vocabulary, encode_documents
 
 WINDOW = 1024
@@ -123,7 +124,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, g
             out.clear()
             return batch
 
-        for batch in batches:
+        for batch in slices(batches):
             encoded = encode_documents(vocabulary, batch.column("text").to_pylist(), end_id)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 total = len(ids) // 4
@@ -135,7 +136,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, g
                     rest.append((doc_id, ids[4 * start : 4 * (start + third)], start, total))
                 if len(rest) >= group:
                     settle()
-                if len(out) >= 20_000:
+                if len(out) >= (1_000 if with_ids else 20_000):
                     yield flush()
         if rest:
             settle()

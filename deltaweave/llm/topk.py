@@ -9,14 +9,18 @@ length (a prefix of the block, which is sorted by length). What is left is verif
 Blocks of queries meet blocks of candidates by an equi-join on the bucket and block; each meeting is bounded, and the
 best k of each query per meeting go on, so nothing grows with a bucket's size. Equal lengths only fill more blocks.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part; nor do vectors whose scaled
-components or squared length do not fit a long, whose scores would not; vectors of different dimension are not compared;
-rows with the query's own id are not candidates; ties go to the smaller id; identical repeated rows count once; empty
-tables give no row; other columns are ignored.
+Components are held as doubles, which hold floor(scale * x) exactly; a product that doubles could round is computed in
+integers of any size.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part; a score beyond a long is held at
+the end of its range (a component beyond a double likewise); vectors of different dimension are not compared; rows with
+the query's own id are not candidates; ties go to the smaller id; identical repeated rows count once; empty tables give no
+row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +39,14 @@ COORDINATE_FROM, FOCUS = 0.5, 4
 
 
 def scaled_rows(rows: DataFrame, id_col: str, vector: str, scale: int = 1024) -> DataFrame:
-    """(vec_id, v array<long>, dim, norm2): components floor(scale * x), x as double; only vectors that take part."""
-    x = F.col(vector)
-    fits = F.forall(x, lambda e: F.coalesce(F.abs(e.cast("double")) < float(2**31) / scale, F.lit(False)))  # false for null, NaN and infinities
-    out = rows.where(x.isNotNull() & fits).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("int")).alias("v")).distinct()
-    norm2: Column = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
-    return out.select("vec_id", "v", F.size("v").alias("dim"), norm2.alias("norm2")).where(F.col("norm2") < float(2**62))
+    """(vec_id, v array<double>, dim, norm2): components floor(scale * x), x as double; only vectors that take part."""
+    x, most = F.col(vector), F.lit(sys.float_info.max)
+    finite = F.forall(x, lambda e: F.coalesce(F.abs(e.cast("double")) < float("inf"), F.lit(False)))  # false for null, NaN and infinities
+    scaled = lambda e: F.greatest(F.least(e.cast("double") * scale, most), -most)
+    whole = lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)  # noqa: E731  larger doubles are integers
+    out = rows.where(x.isNotNull() & finite).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: whole(scaled(e))).alias("v")).distinct()
+    norm2: Column = F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
+    return out.select("vec_id", "v", F.size("v").alias("dim"), norm2.alias("norm2"))
 
 
 def _pack(keys: list[str]):
@@ -48,7 +54,7 @@ def _pack(keys: list[str]):
         ids = table.column("vec_id").to_numpy()
         norm2 = table.column("norm2").to_numpy()
         order = np.lexsort((ids, -norm2))
-        m = vectors(table.column("v"))[order].astype("<i4")
+        m = vectors(table.column("v"))[order].astype("<f8")
         cols = {k: [table.column(k)[0].as_py()] for k in keys}
         return pa.table({**{k: pa.array(v, type=pa.int32()) for k, v in cols.items()}, "ids": [ids[order].astype("<i8").tobytes()], "m": pa.array([m.tobytes()], type=pa.binary()), "longest": [float(norm2.max()) ** 0.5]})
 
@@ -62,14 +68,22 @@ def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _matrix(ids: bytes, m: bytes) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, dtype="<i8")
-    return i, np.frombuffer(m, dtype="<i4").reshape(len(i), -1)
+    return i, np.frombuffer(m, dtype="<f8").reshape(len(i), -1)
 
 
-def _products(p: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
+def _products(p: np.ndarray, q: np.ndarray, pn: np.ndarray, qn: np.ndarray) -> np.ndarray:
     """Exact inner products; floating point only while every partial sum is an exact integer."""
-    if bound < 2.0**53:
-        return np.rint(p.astype(np.float64) @ q.astype(np.float64).T).astype(np.int64)
-    return p.astype(np.int64) @ q.astype(np.int64).T
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = p @ q.T
+        wide = ~(pn[:, None] * qn[None, :] < 2.0**53 - 1)
+    scores[wide] = 0
+    out = np.rint(scores).astype(np.int64)
+    for i in np.flatnonzero(wide.any(axis=1)).tolist():
+        row = [int(x) for x in p[i].tolist()]
+        for j in np.flatnonzero(wide[i]).tolist():
+            exact = sum(x * int(y) for x, y in zip(row, q[j].tolist(), strict=True))
+            out[i, j] = max(-(1 << 63), min((1 << 63) - 1, exact))
+    return out
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -83,10 +97,10 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def search_block(cids: np.ndarray, c: np.ndarray, qids: np.ndarray, q: np.ndarray, theta: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
     """The best k of one block (sorted by length, longest first) for each query, none below the query's theta."""
-    cn = np.sqrt((c.astype(np.float64) ** 2).sum(1))
-    qn = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+    with np.errstate(over="ignore"):
+        cn = np.sqrt((c**2).sum(1))
+        qn = np.sqrt((q**2).sum(1))
     top = cn[0] if len(cn) else 0.0
-    bound = top * (qn.max() if len(qn) else 0.0) + 1
     out: tuple[list[int], list[int], list[int]] = ([], [], [])
 
     def give(i: int, at: np.ndarray, scores: np.ndarray) -> None:
@@ -97,7 +111,7 @@ def search_block(cids: np.ndarray, c: np.ndarray, qids: np.ndarray, q: np.ndarra
         out[1].extend(cids[at[best]].tolist())
         out[2].extend(scores[best].tolist())
 
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         local = np.where(theta > 0, theta / (qn * top), -1.0)  # inf or nan where a length is 0: no positive score there
     local = np.where(np.isnan(local), np.inf, local)
     by_coordinate = np.flatnonzero((local >= COORDINATE_FROM) & (local <= 1 + 1e-9))
@@ -116,9 +130,9 @@ def search_block(cids: np.ndarray, c: np.ndarray, qids: np.ndarray, q: np.ndarra
                 x = unit_columns[f][keep]
                 keep = keep[(x >= lo) & (x <= hi)]
             if len(keep):
-                give(i, keep, _products(c[keep], q[i : i + 1], bound)[:, 0])
+                give(i, keep, _products(c[keep], q[i : i + 1], cn[keep], qn[i : i + 1])[:, 0])
     if len(by_length):
-        scores = _products(c, q[by_length], bound)
+        scores = _products(c, q[by_length], cn, qn[by_length])
         for j, i in enumerate(by_length.tolist()):
             n = len(cn) if theta[i] <= 0 or qn[i] == 0 else int(np.searchsorted(-cn, -theta[i] / qn[i] * (1 - 1e-9), side="right"))
             give(i, np.arange(n), scores[:n, j])
@@ -155,12 +169,14 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, buckets: int = BUCKE
                 best = np.full((len(qids), k), -np.inf)
                 for ids, m in zip(r.s_ids, r.s_m, strict=True):
                     cids, c = _matrix(ids, m)
-                    s = c.astype(np.float64) @ q.astype(np.float64).T
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        s = np.clip(np.nan_to_num(c @ q.T, nan=-np.inf), -np.inf, 2.0**62)  # no bound where it says nothing
                     s[cids[:, None] == qids[None, :]] = -np.inf
                     best = -np.sort(-np.concatenate([best, s.T], axis=1), axis=1)[:, :k]
                 theta = best[:, k - 1]
                 theta = np.where(np.isfinite(theta), theta - 1 - np.abs(theta) * 1e-12, -np.inf)  # safe against rounding
-                qn = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+                with np.errstate(over="ignore"):
+                    qn = np.sqrt((q**2).sum(1))
                 need = np.where(theta > 0, theta / np.where(qn > 0, qn, 1e-300), -np.inf)
                 yield pd.DataFrame({"dim": [r.dim], "q": [r.q], "q_ids": [r.q_ids], "q_m": [r.q_m], "theta": [theta.astype("<f8").tobytes()], "least": [float(need.min())]})
 

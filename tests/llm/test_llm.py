@@ -344,6 +344,28 @@ def test_near_copies_on_either_side_of_the_threshold(spark):
     assert [got[i] for i in range(len(texts))] == parts(len(texts), links)
 
 
+def test_top_k_of_wide_vectors(spark):
+    rows = [(0, [3e6, 1.0]), (1, [1.0, 1.0]), (100, [1.0, 2.0]), (2, [1e300, -1.0]), (3, [-3e15, 2.0]), (4, [float("inf"), 0.0]), (200, [2.0**40, 2.0**41])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    scaled = topk.scaled_rows(df, "vec_id", "embedding")
+    got = defaultdict(list)
+    for r in topk.top_k(scaled, scaled.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    ints = {i: [math.floor(1024 * x) if abs(x) < 1e305 else int(x) for x in v] for i, v in rows if i != 4}
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    for q in (0, 100, 200):
+        want = sorted(((clip(sum(a * b for a, b in zip(ints[q], v))), i) for i, v in ints.items() if i != q), key=lambda t: (-t[0], t[1]))
+        assert got[q] == [(i, s) for s, i in want]
+
+
+def test_vec_ids_of_several_labels_are_vectors_of_their_own(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = lambda v, e: [x + e * (i + 1) for i, x in enumerate(v)]
+    rows = [(1, a, 1), (2, near(a, 0.001), 1), (1, b, 2), (3, near(b, 0.001), 2), (4, near(b, 0.002), 2)]
+    got = sorted((r["vec_id"], r["label"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label bigint")).collect())
+    assert got == [(1, 1, 1, 1), (1, 2, 2, 1), (2, 1, 1, 1), (3, 2, 2, 1), (4, 2, 2, 1)]
+
+
 # -- lines
 
 
