@@ -33,7 +33,7 @@ class Aggregate:
 
     @property
     def needs_values(self) -> bool:
-        return self.kind in ("min", "max", "xor")
+        return self.kind in ("min", "max")
 
     @property
     def may_be_missing(self) -> bool:
@@ -103,18 +103,21 @@ WORD_DIGITS = 15
 
 
 def xor_words(df: DataFrame, keys: list[str], x: Column, w: Column) -> DataFrame:
-    """keys and ``__xor``: byte-wise XOR of the values of odd weight, whatever their length (none where lengths differ).
+    """keys and ``__xor``: byte-wise XOR of the values of odd weight, empty if there are none.
 
-    Values are cut into words that fit a bigint, which are XOR-ed by (keys, place): a partial aggregate, no lists.
+    Values of different lengths, whatever their weights, leave no result. Values are cut into words that fit a bigint, which
+    are XOR-ed by (keys, place): a partial aggregate, no lists.
     """
-    odd = df.select(*keys, F.hex(x).alias("__h"), w.alias("__w")).where((F.pmod("__w", F.lit(2)) == 1) & F.col("__h").isNotNull())
+    known = df.select(*keys, F.hex(x).alias("__h"), (F.pmod(w, F.lit(2)) == 1).alias("__odd")).where(F.col("__h").isNotNull())
     places = F.sequence(F.lit(0), F.greatest(F.floor((F.length("__h") - 1) / WORD_DIGITS), F.lit(0)).cast("int"))
-    words = odd.select(*keys, F.length("__h").alias("__l"), "__h", F.explode(places).alias("__at"))
-    words = words.select(*keys, "__l", "__at", F.conv(F.rpad(F.substring("__h", F.col("__at") * WORD_DIGITS + 1, F.lit(WORD_DIGITS)), WORD_DIGITS, "0"), 16, 10).cast("long").alias("__v"))
-    each = words.groupBy(*keys, "__at").agg(F.bit_xor("__v").alias("__v"), F.min("__l").alias("__lo"), F.max("__l").alias("__hi"))
+    words = known.select(*keys, F.length("__h").alias("__l"), "__h", "__odd", F.explode(places).alias("__at"))
+    word = F.conv(F.rpad(F.substring("__h", F.col("__at") * WORD_DIGITS + 1, F.lit(WORD_DIGITS)), WORD_DIGITS, "0"), 16, 10).cast("long")
+    words = words.select(*keys, "__l", "__at", "__odd", F.when(F.col("__odd"), word).otherwise(0).alias("__v"))
+    each = words.groupBy(*keys, "__at").agg(F.bit_xor("__v").alias("__v"), F.min("__l").alias("__lo"), F.max("__l").alias("__hi"), F.max("__odd").alias("__odd"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__at", F.lpad(F.hex("__v"), WORD_DIGITS, "0").alias("t")))), lambda e: e["t"]), "")
-    out = each.groupBy(*keys).agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), text.alias("__t"))
-    return out.where("__lo = __hi").select(*keys, F.unhex(F.substring("__t", F.lit(1), F.col("__hi"))).alias("__xor"))
+    out = each.groupBy(*keys).agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.max("__odd").alias("__odd"), text.alias("__t"))
+    value = F.when(F.col("__odd"), F.unhex(F.substring("__t", F.lit(1), F.col("__hi")))).otherwise(F.unhex(F.lit("")))
+    return out.where("__lo = __hi").select(*keys, value.alias("__xor"))
 
 
 def finish(a: Aggregate, c: Column) -> Column:

@@ -107,17 +107,36 @@ def _compare(op: str, t: Type, a: Val, b: Val) -> Val:
     return Val(BOOL, out, either(a.drop, b.drop, nan))
 
 
-def _slice_bounds(size: Column, start: Column | None, stop: Column | None) -> tuple[Column, Column]:
-    """Zero-based [from, to) within 0..size; negative bounds count from the end."""
-    zero = F.lit(0).cast("long")
-
-    def clamp(c: Column) -> Column:
-        c = c.cast("long")
-        return F.least(F.greatest(F.when(c < 0, c + size).otherwise(c), zero), size)
-
-    lo = clamp(start) if start is not None else zero
-    hi = clamp(stop) if stop is not None else size
-    return lo, F.greatest(lo, hi)
+def _up(x: Column, s: Column) -> Column:
+    """x / s rounded up, as a bigint."""
+    return F.ceil(x / s).cast("long")
+
+
+def _places(kind: str, n: Column, lo: Column, hi: Column, step: Column) -> tuple[Column, Column, Column, Column]:
+    """(first place, difference, count, no result) of the elements that a slice takes from ``n``.
+
+    Missing bounds are 0 and the length, also where the step is negative; negative ones do not count from the end. Upwards
+    a slice takes lo, lo + step, ... below hi. Downwards strings and arrays take every |step|-th element from hi up to
+    below lo, last first; bytes take lo, lo - |step|, ... above hi. Bits go upwards only and give whole steps. Places
+    outside give no result, but strings and arrays end where they end.
+    """
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    wide = F.greatest(F.abs(step), one)
+    up, down = (step > 0) & (lo < hi), (step < 0) & (lo > hi)
+    if kind in ("string", "array"):
+        ups, downs = _up(F.greatest(F.least(hi, n) - lo, zero), wide), _up(F.greatest(F.least(lo, n) - hi, zero), wide)
+        first = F.when(up, lo).otherwise(hi + (downs - 1) * wide)
+        outside = (up & (lo < 0)) | (down & (hi < 0))
+    elif kind == "bytes":
+        ups, downs = _up(hi - lo, wide), _up(lo - hi, wide)
+        first = lo
+        outside = (up & ((lo < 0) | (lo + (ups - 1) * wide >= n))) | (down & ((lo >= n) | (lo - (downs - 1) * wide < 0)))
+    else:
+        ups, downs = F.floor((hi - lo) / wide).cast("long"), zero
+        first = lo
+        outside = up & ((lo < 0) | (hi > n))
+    count = F.when(up, ups).when(down, downs).otherwise(zero)
+    return first, F.when(step < 0, -wide).otherwise(wide), count, outside
 
 
 def slice_value(x: Val, start: Val | None, stop: Val | None, step: Val | None) -> Val:
@@ -128,25 +147,26 @@ def slice_value(x: Val, start: Val | None, stop: Val | None, step: Val | None) -
     if size is None:
         raise ProgramError("compile_error", f"no_slice {t}")
     n = size().cast("long")
-    lo, hi = _slice_bounds(n, *(v.column if v is not None else None for v in (start, stop)))
+    lo = start.column.cast("long") if start is not None else F.lit(0).cast("long")
+    hi = stop.column.cast("long") if stop is not None else n
+    by = step.column.cast("long") if step is not None else F.lit(1).cast("long")
+    first, by_each, count, outside = _places(kind, n, lo, hi, by)
+    drop = either(drop, outside, (by == 0) if step is not None else None)
     out_type = Type("array", t.args[:1]) if kind == "array" else t
-    if step is not None:
-        s = step.column.cast("long")
-        drop = either(drop, s <= 0)
-        at = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0).cast("long"))), lambda i: (i >= lo) & (i < hi) & (F.pmod(i - lo, F.greatest(s, F.lit(1).cast("long"))) == 0))
-        if kind == "array":
-            return Val(out_type, F.transform(at, lambda i: F.get(c, i.cast("int"))), drop)
-        if kind == "string":
-            return Val(out_type, F.array_join(F.transform(at, lambda i: F.substring(c, (i + 1).cast("int"), F.lit(1))), ""), drop)
-        if kind == "bytes":
-            return Val(out_type, F.unhex(F.array_join(F.transform(at, lambda i: F.hex(F.substring(c, (i + 1).cast("int"), F.lit(1)))), "")), drop)
-    if kind == "array":
-        return Val(out_type, F.slice(c, (lo + 1).cast("int"), (hi - lo).cast("int")), drop)
     if kind == "bits":
         from .bits import bit_slice
 
-        return Val(t, bit_slice(c, lo, hi, step.column.cast("long") if step is not None else F.lit(1).cast("long")), drop)
-    return Val(out_type, F.substring(c, (lo + 1).cast("int"), (hi - lo).cast("int")), drop)
+        return Val(t, bit_slice(c, F.when(count > 0, first).otherwise(0), F.when(count > 0, first + count * by_each).otherwise(0), F.greatest(by_each, F.lit(1).cast("long"))), drop)
+    if step is None:
+        at, n_at = F.when(outside | (count == 0), 0).otherwise(first).cast("int"), F.when(outside, 0).otherwise(count).cast("int")
+        return Val(out_type, F.slice(c, at + 1, n_at) if kind == "array" else F.substring(c, at + 1, n_at), drop)
+    nth = F.sequence(F.lit(0).cast("long"), F.greatest(count - 1, F.lit(0).cast("long")))
+    places = F.transform(F.filter(nth, lambda i: (i < count) & ~outside), lambda i: (first + i * by_each).cast("int"))
+    if kind == "array":
+        return Val(out_type, F.transform(places, lambda i: F.get(c, i)), drop)
+    if kind == "string":
+        return Val(out_type, F.array_join(F.transform(places, lambda i: F.substring(c, i + 1, F.lit(1))), ""), drop)
+    return Val(out_type, F.unhex(F.array_join(F.transform(places, lambda i: F.hex(F.substring(c, i + 1, F.lit(1)))), "")), drop)
 
 
 def subscript(x: Val, key: Val) -> Val:

@@ -96,7 +96,7 @@ def state_at(z: ZSet, epochs: DataFrame) -> ZSet:
     """The running Z-set at each of the epochs, with the epoch as context."""
     at = epochs.select(F.col(E).alias("__at"))
     held = z.weighted().join(at, F.col(E) <= F.col("__at")).groupBy("__at", *z.cols).agg(F.sum(W).alias(W)).where(F.col(W) != 0)
-    return ZSet(held.withColumnRenamed("__at", E).select(E, *z.cols, W), z.cols, False, (E,))
+    return ZSet(held.withColumnRenamed("__at", E).select(E, *z.cols, W), z.cols, False, (E,), True)
 
 
 def aggregate(z: ZSet, aggs: dict[str, Aggregate], by: Sequence[str], result: dict[str, Column] | None = None, drop: Column | None = None) -> ZSet:
@@ -110,6 +110,6 @@ def aggregate(z: ZSet, aggs: dict[str, Aggregate], by: Sequence[str], result: di
     for i, c in enumerate(by):
         cond = cond & z.df[c].eqNullSafe(at[f"__g{i}"])
     held = z.weighted().join(at, cond).groupBy("__at", *z.cols).agg(F.sum(W).alias(W)).where(F.col(W) != 0)
-    state = ZSet(held.withColumnRenamed("__at", E).select(E, *z.cols, W), z.cols, False, (E,))
+    state = ZSet(held.withColumnRenamed("__at", E).select(E, *z.cols, W), z.cols, False, (E,), True)
     out = state.aggregate(aggs, by, result, drop)
     return _difference(out.weighted().select(E, *out.cols, W), out.cols, touched, by)

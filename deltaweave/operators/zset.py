@@ -22,16 +22,14 @@ from ..plans.staging import stage
 W = "__w"
 
 
-def _groupable(df: DataFrame, cols: Sequence[str]) -> bool:
-    return not any(isinstance(df.schema[c].dataType, T.MapType) for c in cols)
-
-
 @dataclass
 class ZSet:
     df: DataFrame
     cols: list[str]
     unit: bool = True
     ctx: tuple[str, ...] = ()
+    #: Is it in normal form?
+    net: bool = False
 
     # -- making
     @staticmethod
@@ -61,9 +59,11 @@ class ZSet:
     # -- normal form
     def norm(self) -> ZSet:
         """One row per value with its net weight, zeros gone."""
+        if self.net:
+            return self
         keys = [*self.ctx, *self.cols]
         df = self.df.groupBy(*keys).agg(F.sum(self.w).alias(W)).where(F.col(W) != 0)
-        return self._new(df, self.cols, False)
+        return ZSet(df, self.cols, False, self.ctx, True)
 
     def rows(self) -> DataFrame:
         """Data columns only, each row as often as its net weight."""
@@ -189,23 +189,25 @@ class ZSet:
     def aggregate(self, aggs: dict[str, Aggregate], by: Sequence[str], result: dict[str, Column] | None = None, drop: Column | None = None) -> ZSet:
         """Group by ``by``; ``aggs`` are named primitives and ``result`` columns over their names (default: the aggregates).
 
-        A group is there while its net multiset is not empty; with no ``by`` an empty input gives no row. A group for
-        which a primitive has nothing to report is left out.
+        A group is there while its net multiset is not empty, whatever its weights sum to; with no ``by`` an empty input gives
+        no row. A group for which a primitive has nothing to report is left out.
         """
         keys = self._keys(by)
-        df = self.df.select(*keys, *(a.argument.alias(f"__x{i}") for i, a in enumerate(aggs.values()) if a.argument is not None), *([] if self.unit else [W]))
-        args = [c for c in df.columns if c.startswith("__x")]
         unit = self.unit
+        source = self.df if unit else self.norm().df
+        rows = source.select(*keys, *(a.argument.alias(f"__x{i}") for i, a in enumerate(aggs.values()) if a.argument is not None), *([] if unit else [W]))
+        args = [c for c in rows.columns if c.startswith("__x")]
+        df = rows
         if not unit and any(a.needs_values for a in aggs.values()):
-            df = df.groupBy(*keys, *args).agg(F.sum(W).alias(W)).where(F.col(W) != 0)  # min, max and xor look at net values
+            df = df.groupBy(*keys, *args).agg(F.sum(W).alias(W))  # min and max look at net values; zeros stay, as the group does
         w = F.lit(1).cast("long") if unit else F.col(W)
         made = [merged(a, F.col(f"__x{i}") if a.argument is not None else None, w, unit).alias(f"__a{i}") for i, a in enumerate(aggs.values()) if a.kind != "xor"]
-        out = df.groupBy(*keys).agg(F.sum(w).alias("__n") if not unit else F.count(F.lit(1)).alias("__n"), *made)
-        if not unit or not keys:
+        out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *made)
+        if not keys:
             out = out.where(F.col("__n") != 0)
         for i, a in enumerate(aggs.values()):
             if a.kind == "xor":
-                x = xor_words(df, keys, F.col(f"__x{i}"), w).withColumnsRenamed({k: f"__k{j}" for j, k in enumerate(keys)} | {"__xor": f"__a{i}"})
+                x = xor_words(rows, keys, F.col(f"__x{i}"), w).withColumnsRenamed({k: f"__k{j}" for j, k in enumerate(keys)} | {"__xor": f"__a{i}"})
                 cond = F.lit(True)
                 for j, k in enumerate(keys):
                     cond = cond & out[k].eqNullSafe(x[f"__k{j}"])

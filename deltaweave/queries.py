@@ -368,42 +368,46 @@ def replay_aggregate(spark, sf_dir):
 
 
 CLOSURE = """
-src := source("edges")
-src :: stream(struct("f": i64, "t": i64))
-circuit closure_of(edge: e, path: p):
-    hops := project(join(map(e, by_end), map(p, by_start), on: ["k"]), ["f", "t"])
-    path := distinct(plus(e, hops))
-by_end :: function((struct("f": i64, "t": i64)) -> struct("k": i64, "f": i64))
-by_end := function((r) -> struct("k": r.t, "f": r.f))
-by_start :: function((struct("f": i64, "t": i64)) -> struct("k": i64, "t": i64))
-by_start := function((r) -> struct("k": r.f, "t": r.t))
-fp := fixpoint(closure_of(edge: src, path: empty()))
-out := fp.path
-n :: aggregate_function((struct("f": i64, "t": i64)) -> struct("n": integer))
-n := function((r) -> struct("n": std.agg_count()))
-counts := aggregate(fp.path, n, by: ["f"])
+ties := source("ties")
+ties :: stream(struct("origin": i64, "at": i64))
+circuit going(tie: t, line: l):
+    line := distinct(plus(t, map(join(l, map(t, as_step), on: ["at"]), moved)))
+as_step :: function((struct("origin": i64, "at": i64)) -> struct("at": i64, "to": i64))
+as_step := function((t) -> struct("at": t.origin, "to": t.at))
+moved :: function((struct("origin": i64, "at": i64, "to": i64)) -> struct("origin": i64, "at": i64))
+moved := function((l) -> struct("origin": l.origin, "at": l.to))
+lines := fixpoint(going(tie: ties, line: empty()))
+out := lines.line
+size :: aggregate_function((struct("origin": i64, "at": i64)) -> struct("n": integer))
+size := function((l) -> struct("n": std.agg_count()))
+counts := aggregate(lines.line, size, by: ["origin"])
+tops := filter(lines.line, top)
+top :: function((struct("origin": i64, "at": i64)) -> enum("false","true"))
+top := function((l) -> l.origin - l.at > l.at)
+again := fixpoint(going(tie: tops, line: empty()))
+beyond := again.line
 """
 
 
 def _tree(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey > 1").select(F.col("c_custkey").alias("f"), F.expr("c_custkey div 2").alias("t"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey > 1").select(F.col("c_custkey").alias("origin"), F.expr("c_custkey div 2").alias("at"))
 
 
 @query(
     """WITH RECURSIVE e AS (SELECT c_custkey AS f, c_custkey // 2 AS t FROM customer WHERE c_custkey > 1),
-       r(f, t) AS (SELECT f, t FROM e UNION SELECT e.f, r.t FROM e JOIN r ON e.t = r.f) SELECT f, t FROM r"""
+       r(f, t) AS (SELECT f, t FROM e UNION SELECT e.f, r.t FROM e JOIN r ON e.t = r.f) SELECT f AS origin, t AS "at" FROM r"""
 )
 def fixpoint_tree(spark, sf_dir):
-    return run(spark, CLOSURE, {"edges": _tree(spark, sf_dir)}, "out")
+    return run(spark, CLOSURE, {"ties": _tree(spark, sf_dir)}, "out")
 
 
 @query(
     """WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS f, ((7 * n_nationkey + 3) % 25)::BIGINT AS t FROM nation),
-       r(f, t) AS (SELECT f, t FROM e UNION SELECT e.f, r.t FROM e JOIN r ON e.t = r.f) SELECT f, count(*)::BIGINT AS n FROM r GROUP BY f"""
+       r(f, t) AS (SELECT f, t FROM e UNION SELECT e.f, r.t FROM e JOIN r ON e.t = r.f) SELECT f AS origin, count(*)::BIGINT AS n FROM r GROUP BY f"""
 )
 def fixpoint_cycle(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("f"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("long").alias("t"))
-    return run(spark, CLOSURE, {"edges": e}, "counts").withColumn("n", F.col("n").cast("long"))
+    e = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("origin"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("long").alias("at"))
+    return run(spark, CLOSURE, {"ties": e}, "counts").withColumn("n", F.col("n").cast("long"))
 
 
 COUNTDOWN = """
@@ -447,13 +451,13 @@ def fixpoint_mutual(spark, sf_dir):
        a(f, t) AS (SELECT f, t FROM e UNION SELECT e.f, a.t FROM e JOIN a ON e.t = a.f),
        k AS (SELECT * FROM e WHERE f % 5 <> 0),
        b(f, t) AS (SELECT f, t FROM k UNION SELECT k.f, b.t FROM k JOIN b ON k.t = b.f)
-       SELECT 0::BIGINT AS e, f, t, 1::BIGINT AS w FROM a UNION ALL SELECT 1::BIGINT, f, t, -1::BIGINT FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"""
+       SELECT 0::BIGINT AS e, f AS origin, t AS "at", 1::BIGINT AS w FROM a UNION ALL SELECT 1::BIGINT, f, t, -1::BIGINT FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"""
 )
 def fixpoint_retract(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("f"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("long").alias("t"))
+    e = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("origin"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("long").alias("at"))
     first = e.withColumns({"__e": F.lit(0).cast("long"), "__w": F.lit(1).cast("long")})
-    back = e.where("f % 5 = 0").withColumns({"__e": F.lit(1).cast("long"), "__w": F.lit(-1).cast("long")})
-    return Plan(CLOSURE).replay(spark, {"edges": first.union(back)}, ["out"])["out"].df.withColumnsRenamed({replay.E: "e", W: "w"})
+    back = e.where("origin % 5 = 0").withColumns({"__e": F.lit(1).cast("long"), "__w": F.lit(-1).cast("long")})
+    return Plan(CLOSURE).replay(spark, {"ties": first.union(back)}, ["out"])["out"].df.withColumnsRenamed({replay.E: "e", W: "w"})
 
 
 # -- programs
@@ -514,3 +518,6 @@ def circuit_macro(spark, sf_dir):
 def revenue_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: scan, join, aggregate."""
     return lang_program(spark, sf_dir)
+
+
+from . import function_queries  # noqa: E402, F401  registers its queries

@@ -24,7 +24,7 @@ STRINGS = {
     "trim": ("std.string_trim(r.s)", S, "ab.cdé"), "ltrim": ("std.string_ltrim(r.s)", S, "ab.cdé "), "rtrim": ("std.string_rtrim(r.s)", S, "  ab.cdé"), "upper": ("std.string_upper(r.s)", S, "  AB.CDÉ "),
     "starts": ('std.string_starts_with(r.s, prefix: "  a")', B, True), "ends": ('std.string_ends_with(r.s, suffix: "x")', B, False), "has": ('std.string_contains(r.s, sub: ".c")', B, True),
     "sub1": ("std.string_substring(r.s, start: r.n)", S, "cdé "), "sub2": ("std.string_substring(r.s, start: r.n, length: r.n)", S, "cdé "), "at": ("std.string_at(r.s, r.n)", S, "c"),
-    "sl1": ("std.string_slice(r.s, stop: r.n)", S, "  ab."), "sl2": ("std.string_slice(r.s, start: r.n, stop: r.m)", S, "cdé"), "step": ("r.s[0:8:2]", S, " a.d"), "neg": ("r.s[-3:]", S, "dé "),
+    "sl1": ("std.string_slice(r.s, stop: r.n)", S, "  ab."), "sl2": ("std.string_slice(r.s, start: r.n, stop: r.m)", S, "cdé"), "step": ("r.s[0:8:2]", S, " a.d"), "down": ("r.s[8:5:-2]", S, "éc"), "none": ("r.s[0:9:-1]", S, ""), "past": ("r.s[6:99]", S, "dé "),
     "eq": ("std.string_eq(r.s, r.s)", B, True), "lt": ('r.s < "zz"', B, True), "len": ("std.string_length(r.s)", "integer", 9), "split": ('std.string_split(r.s, delimiter: ".")', f"array({S})", ("  ab", "cdé ")),
     "esc": (r'std.string_replace(r.s, from: ".", to: "\n")', S, "  ab\ncdé "), "cat": ('r.s ++ "x"', S, "  ab.cdé x"),
 }
@@ -38,7 +38,7 @@ NUMBERS = {
 OTHERS = {
     "msize": ("std.map_size(r.m)", "integer", 2), "mhas": ('std.map_has(r.m, key: "a")', B, True), "mget": ('std.map_get(r.m, key: "b")', "i64", 2), "mkeys": ("std.array_sort(std.map_keys(r.m))", f"array({S})", ("a", "b")), "mvals": ("std.array_size(std.map_values(r.m))", "integer", 2),
     "mwo": ('std.map_size(std.map_without(r.m, keys: ["a"]))', "integer", 1), "mmerge": ('std.map_get(std.map_merge(r.m, {a: std.array_at(r.a, std.sign_i64(r.one))}), key: "a")', "i64", 1), "asize": ("std.array_size(r.a ++ r.a)", "integer", 6), "app": ("std.array_append(r.a, r.one)", "array(i64)", (3, 1, 2, 1)),
-    "pre": ("std.array_prepend(r.one, r.a)", "array(i64)", (1, 3, 1, 2)), "con": ("std.array_contains(r.a, r.one)", B, True), "rev": ("std.array_reverse(r.a)", "array(i64)", (2, 1, 3)), "sort": ("std.array_sort(r.a)", "array(i64)", (1, 2, 3)), "cut": ("r.a[1:]", "array(i64)", (1, 2)), "cut2": ("r.a[0:3:2]", "array(i64)", (3, 2)),
+    "pre": ("std.array_prepend(r.one, r.a)", "array(i64)", (1, 3, 1, 2)), "con": ("std.array_contains(r.a, r.one)", B, True), "rev": ("std.array_reverse(r.a)", "array(i64)", (2, 1, 3)), "sort": ("std.array_sort(r.a)", "array(i64)", (1, 2, 3)), "cut": ("r.a[1:]", "array(i64)", (1, 2)), "cut2": ("r.a[0:3:2]", "array(i64)", (3, 2)), "adown": ("r.a[3:0:-2]", "array(i64)", (2, 3)), "bdown": ("r.b[2:0:-1]", "bytes", b"\x02\xff"), "b2": ("r.b[0:3:2]", "bytes", b"\x01\x02"), "bits2": ("std.bits_eq(0b10110[0:5:2], 0b11)", B, True),
     "last": ("r.a[-1]", "i64", 2), "bsize": ("std.bytes_size(r.b)", "integer", 3), "bat": ("std.bytes_at(r.b, r.one)", "i64", 255), "bsl": ("r.b[1:3]", "bytes", b"\xff\x02"), "bcat": ("std.bytes_size(r.b ++ r.b)", "integer", 6), "beq": ("std.bytes_eq(r.b, r.b)", B, True), "bits": ("std.bits_size(0b1011[1:3])", "integer", 2),
     "xor": ("std.bits_eq(0b1100 ^ 0b1010, 0b0110)", B, True), "rot": ("std.bits_eq(0b1000 <<< 1, 0b0001)", B, True), "rotr": ("std.bits_eq(0b1000 >>> 1, 0b0100)", B, True), "shr": ("std.bits_eq(0b1101 >> 2, 0b01)", B, True), "or": ("std.bits_eq(0b1100 | 0b0011, 0b1111)", B, True),
     "time": ("std.time(std.timestamp(r.us))", "time", 5), "later": ("std.date(std.timestamp(r.us)) = std.date(std.timestamp(r.us))", B, True), "get": ('std.struct_get(struct("z": r.one), key: "z")', "i64", 1),
@@ -68,7 +68,7 @@ def test_collections_and_bytes(spark):
     compare(evaluate(spark, fields, row, OTHERS), OTHERS)
 
 
-@pytest.mark.parametrize("expr,kind", [("std.sqrt_f64(r.f)", "f64"), ("std.ln_f64(r.f)", "f64"), ("r.i / (r.i - r.i)", "i64"), ("r.i % (r.i - r.i)", "i64"), ("std.string_at(r.s, r.i)", S), ('r.m["x"]', "i64"), ("r.a[5]", "i64"), ("r.f / 0e0 - r.f / 0e0 < r.f", B)])
+@pytest.mark.parametrize("expr,kind", [("std.sqrt_f64(r.f)", "f64"), ("std.ln_f64(r.f)", "f64"), ("r.i / (r.i - r.i)", "i64"), ("r.i % (r.i - r.i)", "i64"), ("std.string_at(r.s, r.i)", S), ('r.m["x"]', "i64"), ("r.a[5]", "i64"), ("r.s[-2:]", S), ("r.a[0:1:0]", "array(i64)"), ("r.a[-1:1]", "array(i64)"), ("r.f / 0e0 - r.f / 0e0 < r.f", B)])
 def test_no_result_drops_the_row(spark, expr, kind):
     fields = {"f": "f64", "i": "i64", "s": S, "m": f"map({S}, i64)", "a": "array(i64)"}
     assert evaluate(spark, fields, {"f": -1.0, "i": 9, "s": "abc", "m": {"y": 1}, "a": [1]}, {"v": (expr, kind)}) is None
