@@ -35,8 +35,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def quoting(messages: DataFrame) -> DataFrame:
+    """Messages that quote, as the table's own don't: each begins with the last turn's text behind ``> `` marks (of turns that
+    occur more than once, the least text; marks in a text make deeper levels)."""
+    before = messages.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("said"))
+    quote = F.concat(F.lit("> "), F.replace(F.col("said"), F.lit("\n"), F.lit("\n> ")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    return messages.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", F.when(F.col("said").isNull(), F.col("text")).otherwise(quote).alias("text"))
+
+
 def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    return link_quotes(quoting(table(spark, sf_dir, "conversations")))
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +98,13 @@ ORACLES = {
         r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
         c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM s JOIN c ON c.a = s.doc_id""",
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages),
+        d AS (SELECT *, sha1(h) AS x FROM p)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, ((k // 4) * 5 + 1)::INT, 5))::BIGINT) >> (15 - 5 * (k % 4))::BIGINT) & 31)::INT + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+        FROM d""",
     "op8_embedding_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings

@@ -4,7 +4,9 @@ An ARC file is a ``filedesc://`` record that names the version and the header fi
 header line of space-separated fields, then exactly the declared number of bytes, then a line feed. The fields of a
 header line follow the version: 5 in version 1, 10 in version 2. The converter reads lines and declared lengths (a
 payload may hold anything, header-like lines too) and synthesises what WARC wants: record id (UUID from the record's
-identity), WARC-Date from the 14-digit time, record type from the content, and payload and block digests.
+identity), WARC-Date from the 14-digit time, record type from the content (an HTTP head makes a response, which keeps its
+head; a name-server answer or anything else is a resource), and payload and block digests. Whole ARC files, plain or in
+gzip members, are converted by ``convert_files``; the registered query writes pages as ARC records first.
 
 Defined cases: a null html is an empty payload; a null url is written as ``urn:page:<page_id>``; spaces and controls in
 a url are percent-encoded; rows of equal payloads of at least ``min_bytes`` bytes: those with the largest page_id are
@@ -57,7 +59,7 @@ class WarcRecord:
 
     @property
     def payload(self) -> bytes:
-        return self.block.partition(b"\r\n\r\n")[2] if self.headers.get("Content-Type", "").startswith("application/http") else self.block
+        return self.block[len(http_head(self.block)) :] if self.headers.get("Content-Type", "").startswith("application/http") else self.block
 
 
 def arc_file_header(version: int, name: str, date: str) -> bytes:
@@ -108,24 +110,33 @@ def read_arc(stream) -> Iterator[ArcRecord]:
             yield ArcRecord(dict(zip(names, parts, strict=True)), content, version)
 
 
+def http_head(content: bytes) -> bytes:
+    """The HTTP response head that the content begins with, with its empty line; none: empty."""
+    if not content.startswith(b"HTTP/"):
+        return b""
+    ends = [(at + len(e)) for e in (b"\r\n\r\n", b"\n\n") if (at := content.find(e)) >= 0]
+    return content[: min(ends)] if ends else b""
+
+
 def to_warc(arc: ArcRecord, key: str, refers_to: str | None = None, refers_url: str | None = None, page_id: str = "") -> WarcRecord:
-    """Synthesise the WARC record of an ARC record: a response, or a revisit of ``refers_to`` (a record id)."""
+    """Synthesise the WARC record of an ARC record: a response, a revisit of ``refers_to`` (a record id) or a resource."""
     url, d = arc.fields["URL"], arc.fields["Archive-date"].ljust(14, "0")
     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-    status = arc.fields.get("Result-code", "200")
-    http = f"HTTP/1.1 {status} OK\r\nContent-Type: {arc.fields['Content-type']}\r\nContent-Length: {len(arc.content)}\r\n\r\n".encode()
-    block = http if refers_to else http + arc.content
+    head = http_head(arc.content)
+    payload = arc.content[len(head) :]
+    block = head if refers_to else arc.content
     headers = {
-        "WARC-Type": "revisit" if refers_to else "response",
+        "WARC-Type": "revisit" if refers_to else "response" if head else "resource",
         "WARC-Record-ID": record_id(key),
         "WARC-Date": date,
         "WARC-Target-URI": url,
         "WARC-IP-Address": arc.fields["IP-address"],
-        "WARC-Payload-Digest": f"sha1:{base32_sha1(arc.content)}",
+        "WARC-Payload-Digest": f"sha1:{base32_sha1(payload)}",
         "WARC-Block-Digest": f"sha1:{base32_sha1(block)}",
-        "Content-Type": "application/http; msgtype=response",
-        "X-Page-ID": page_id,
+        "Content-Type": "application/http; msgtype=response" if head else arc.fields["Content-type"],
     }
+    if page_id:
+        headers["X-Page-ID"] = page_id
     if refers_to:
         headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": refers_to}
         if refers_url:
@@ -133,6 +144,27 @@ def to_warc(arc: ArcRecord, key: str, refers_to: str | None = None, refers_url:
     return WarcRecord(headers, block)
 
 
+def convert_files(paths: DataFrame, out_dir: str) -> DataFrame:
+    """ARC files (``path``; .gz: gzip members) -> a WARC file each under ``out_dir``; returns the manifest (path, records, source).
+
+    A file is a task's unit, its records are read one at a time; a file that is no ARC file fails the job.
+    """
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                to, n = f"{out_dir}/of-{uuid.uuid4().hex}.warc.gz", 0
+                with _open(path, "r") as raw, _open(to, "w") as out:
+                    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw)
+                    for arc in read_arc(stream):
+                        out.write(write_warc(to_warc(arc, f"{path}/{n}/{arc.fields['URL']}/{arc.fields['Archive-date']}")))
+                        n += 1
+                yield pa.RecordBatch.from_pylist([{"path": to, "records": n, "source": path}], schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("source", pa.string())]))
+
+    one = paths.select(F.col("path").cast("string").alias("path")).where("path is not null")
+    return staged(one.repartition(max(1, one.count())).mapInArrow(convert, "path string, records long, source string"), "warc-manifest")
+
+
 def record_id(key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, key)}>"
 
@@ -183,10 +215,11 @@ def write_archives(pages: DataFrame, out_dir: str, version: int = 2, date: str =
                     out = _open(path, "w")
                 url = row["url"] or f"urn:page:{row['page_id']}"
                 # The legacy form: a version block and one record, as the converter meets them.
-                legacy = arc_file_header(version, "pages.arc", date) + arc_record(version, url, date, row["payload"])
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(row['payload'])}\r\n\r\n".encode()
+                legacy = arc_file_header(version, "pages.arc", date) + arc_record(version, url, date, head + row["payload"])
                 for arc in read_arc(io.BytesIO(legacy)):
                     revisit = row["response_id"] is not None and row["page_id"] != row["response_id"]
-                    digest = hashlib.sha1(arc.content).hexdigest()
+                    digest = hashlib.sha1(row["payload"]).hexdigest()
                     refers = record_id(f"{row['response_id']}/{digest}") if revisit else None
                     warc = to_warc(arc, f"{row['page_id']}/{digest}", refers, row["response_url"] if revisit else None, "" if row["page_id"] is None else str(row["page_id"]))
                     if revisit:
@@ -214,10 +247,11 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     for r in read_warc(f):
                         digest = r.headers["WARC-Payload-Digest"].removeprefix("sha1:")
                         kind = r.headers["WARC-Type"]
-                        if kind == "response" and (base32_sha1(r.payload) != digest or len(r.payload) != int(r.http["Content-Length"])):
+                        if kind != "revisit" and base32_sha1(r.payload) != digest:
                             raise ValueError(f"{path}: {r.headers['WARC-Record-ID']} is damaged")
                         page, refers = r.headers.get("X-Page-ID"), r.headers.get("X-Refers-To-Page")
-                        out.append({"page_id": int(page) if page else None, "payload_bytes": int(r.http["Content-Length"]), "payload_digest": digest, "record_type": kind, "refers_to": int(refers) if refers else None, "url": r.headers["WARC-Target-URI"], "record_id": r.headers["WARC-Record-ID"], "warc_date": r.headers["WARC-Date"]})
+                        size = int(r.http["Content-Length"]) if "Content-Length" in r.http else len(r.payload)
+                        out.append({"page_id": int(page) if page else None, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": int(refers) if refers else None, "url": r.headers["WARC-Target-URI"], "record_id": r.headers["WARC-Record-ID"], "warc_date": r.headers["WARC-Date"]})
                         if len(out) == 20_000:
                             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(RECORDS))
                             out = []

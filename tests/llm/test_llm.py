@@ -1,5 +1,6 @@
 """Each training-data operator against a brute-force version, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
+import gzip
 import itertools
 import math
 import random
@@ -366,6 +367,51 @@ def test_vec_ids_of_several_labels_are_vectors_of_their_own(spark):
     assert got == [(1, 1, 1, 1), (1, 2, 2, 1), (2, 1, 1, 1), (3, 2, 2, 1), (4, 2, 2, 1)]
 
 
+def test_quotes_of_the_last_turn_are_found(spark):
+    from deltaweave.llm.queries import quoting
+
+    rows = [(1, 0, "user", "What is it?\nTell me."), (1, 1, "assistant", "A thing of note."), (1, 2, "user", "Thanks."), (2, 0, "user", "Other words here"), (2, 1, "assistant", None), (3, 0, "user", None), (3, 1, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(quoting(df)).collect()}
+    assert {k: r["parent_turn"] for k, r in got.items()} == {(1, 0): None, (1, 1): 0, (1, 2): 1, (2, 0): None, (2, 1): 0, (3, 0): None, (3, 1): None}
+    assert got[1, 1]["text"] == "A thing of note." and got[1, 2]["text"] == "Thanks." and got[1, 2]["root_turn"] == 0
+
+
+def test_files_of_real_archives(spark, tmp_path):
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n<html>a\n\nb</html>"
+    for version, name in ((1, "a.arc"), (2, "b.arc.gz")):
+        parts = [warc.arc_file_header(version, name, "20010203040506"), warc.arc_record(version, "http://e.org/", "20010203040506", http), warc.arc_record(version, "dns:e.org", "20010203040507", b"20010203\ne.org. 1.2.3.4\n", "text/dns"), warc.arc_record(version, "http://e.org/n", "20010203040508", b"", "text/plain")]
+        (tmp_path / name).write_bytes(b"".join(gzip.compress(x) for x in parts) if name.endswith("gz") else b"".join(parts))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in ("a.arc", "b.arc.gz")] + [(None,)], "path string")
+    manifest = warc.convert_files(paths, common.fresh_dir(spark, "converted"))
+    assert [r["records"] for r in manifest.collect()] == [3, 3]
+    got = sorted((r["url"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["warc_date"]) for r in warc.read_archives(manifest.select("path")).collect())
+    want = [("dns:e.org", "resource", 26, warc.base32_sha1(b"20010203\ne.org. 1.2.3.4\n"), "2001-02-03T04:05:07Z"), ("http://e.org/", "response", 17, warc.base32_sha1(b"<html>a\n\nb</html>"), "2001-02-03T04:05:06Z"), ("http://e.org/n", "resource", 0, warc.base32_sha1(b""), "2001-02-03T04:05:08Z")]
+    want[0] = (*want[0][:2], len(b"20010203\ne.org. 1.2.3.4\n"), *want[0][3:])
+    assert got == sorted(want * 2)
+
+
+def test_fitted_risk_is_low(spark):
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(0, 1, (4000, quality.FEATURES)), rng.normal(0.7, 1, (2200, quality.FEATURES))
+    positive, unlabelled, prior = good[:2000], np.concatenate([good[2000:], bad[:2000]]), 0.5
+
+    def risk(score):
+        log = lambda p: -math.log(min(max(p, 1e-12), 1 - 1e-12))
+        mean = lambda x, f: sum(f(p) for p in score(x).tolist()) / len(x)
+        return prior * mean(positive, log) + max(0.0, mean(unlabelled, lambda p: log(1 - p)) - prior * mean(positive, lambda p: log(1 - p)))
+
+    model = quality.fit(positive, unlabelled, prior)
+    fitted = risk(model.score)
+    assert fitted < min(risk(lambda x, c=c: np.full(len(x), c)) for c in np.linspace(0.01, 0.99, 99)) - 0.1
+    for _ in range(10):
+        other = quality.Model(model.edges, model.weights + rng.normal(0, 0.3, model.weights.shape), model.bias)
+        assert fitted < risk(other.score)
+    fresh = np.concatenate([rng.normal(0, 1, (200, quality.FEATURES)), bad[2000:]])
+    right = (model.score(fresh) > 0.5) == (np.arange(400) < 200)
+    assert right.mean() > 0.9
+
+
 # -- lines
 
 
