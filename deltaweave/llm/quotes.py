@@ -113,13 +113,16 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     per = per.select("conv_id", "turn", "quote_depth", "quotes", "linked", (-F.col("best.at")).alias("parent_turn"), F.col("other.other_conv").alias("quoted_conv"), F.col("other.other_at").alias("quoted_turn"))
     per = staged(per, "quote-parents")
 
-    roots = per.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("root"))
-    while True:  # pointer doubling: as many rounds as the logarithm of the deepest thread
-        up = roots.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"))
-        roots = staged(roots.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "quote-roots")
-        if roots.where("moved").isEmpty():
+    active = per.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("root"))
+    settled = None
+    while True:  # pointer doubling, as many rounds as the logarithm of the deepest thread; what has reached its root rests
+        known = active if settled is None else active.unionByName(settled)
+        up = known.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"))
+        step = staged(active.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "quote-roots")
+        rest, active = (step.where(c).drop("moved") for c in ("not moved", "moved"))
+        settled = rest if settled is None else settled.unionByName(rest)
+        if active.isEmpty():
             break
-        roots = roots.drop("moved")
 
     def strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -127,7 +130,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
             yield frame
 
     clean = base.mapInPandas(strip, base.schema)
-    out = clean.join(per, ["conv_id", "turn"], "left").join(roots.select("conv_id", "turn", "root"), ["conv_id", "turn"], "left")
+    out = clean.join(per, ["conv_id", "turn"], "left").join(settled, ["conv_id", "turn"], "left")
     zero = F.lit(0)
     return out.select("conv_id", F.coalesce("root", "turn").alias("root_turn"), "turn", "role", "text", "parent_turn", "quoted_conv", "quoted_turn", F.coalesce("quote_depth", zero).alias("quote_depth"), F.coalesce("quotes", zero).cast("long").alias("quotes"), F.coalesce("linked", zero).cast("long").alias("linked"))
 
