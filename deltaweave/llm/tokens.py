@@ -17,7 +17,7 @@ from array import array
 from collections.abc import Iterable
 
 #: Most units that one worker remembers (about 200 bytes each).
-MEMO_UNITS = 300_000
+MEMO_UNITS = 700_000
 #: One optional space and Latin letters, perhaps with one mark after them.
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ſ]+")
 _MARKS = frozenset(",.;:!?|")
