@@ -318,12 +318,15 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     open_pairs = open_pairs.join(at("a"), F.col("a") == F.col("a_"), "left").join(at("b"), F.col("b") == F.col("b_"), "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     open_pairs = staged(open_pairs.select("a", "b", F.col("d").alias("dab"), "ra", "rb"), "ngram-open")
 
-    # Members of undecided leader pairs that are far enough from their leader for a link by the triangle inequality.
+    # Members of undecided leader pairs that are far enough from their leader for a link by the triangle inequality. They
+    # meet on shingles that members of both leaders have, so entries are first matched with those, not with all pairs.
+    both_have = open_pairs.join(of_a, "a").join(of_b, ["b", "token"])
+    whose = lists.join(known.select("node", "leader", "d"), "node").select("token", "leader", "node", "d", F.col("n").alias("size"), "pos")
+
     def members(s: str, leader: str, other: str) -> DataFrame:
-        who = known.select(F.col("node").alias(f"{s}_node"), F.col("leader").alias(f"{s}_leader"), F.col("d").alias(f"{s}_d"))
-        far = open_pairs.join(who, (F.col(leader) == F.col(f"{s}_leader")) & (F.col("dab") - F.col(f"{s}_d") - F.col(other) <= slack)).select("a", "b", "dab", f"{s}_node", f"{s}_d")
-        own = lists.select("token", F.col("node").alias(f"{s}_node"), F.col("n").alias(f"{s}_n"), F.col("pos").alias(f"{s}_pos"))
-        return far.join(own, f"{s}_node")
+        who = whose.select("token", F.col("leader").alias(leader), *(F.col(c).alias(f"{s}_{k}") for c, k in (("node", "node"), ("d", "d"), ("size", "n"), ("pos", "pos"))))
+        near = both_have.select("a", "b", "dab", "token", other).join(who, [leader, "token"]).where(F.col("dab") - F.col(f"{s}_d") - F.col(other) <= slack)
+        return near.select("a", "b", "token", "dab", f"{s}_node", f"{s}_d", f"{s}_n", f"{s}_pos")
 
     fine = members("x", "a", "rb").join(members("y", "b", "ra").drop("dab"), ["a", "b", "token"]).where((F.col("dab") - F.col("x_d") - F.col("y_d") <= slack) & _reachable(t, "x_n", "x_pos", "y_n", "y_pos"))
     fine = fine.groupBy("x_node", "y_node").agg(F.count("*").alias("lists"), F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
