@@ -262,6 +262,21 @@ def _linked(t: int) -> Column:
     return F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * t
 
 
+def _near_members(both_have: DataFrame, whose: DataFrame, s: str, other: str, t: int) -> DataFrame:
+    """Early list entries of the members (side ``s``) of undecided leader pairs that are near enough for a link with a member of the other leader.
+
+    ``both_have``: a, b, dab, ra, rb, and per token the least position (at_) and least and greatest sizes (lo_, hi_) of both
+    leaders' members (x: of a, y: of b). Two sets with overlap >= least share AHEAD of the first size - least + AHEAD shingles of each.
+    """
+    leader, radius = {"x": ("a", "rb"), "y": ("b", "ra")}[s]
+    slack = 1 - t / 100 + 1e-9
+    who = whose.select("token", F.col("leader").alias(leader), *(F.col(c).alias(f"{s}_{k}") for c, k in (("node", "node"), ("d", "d"), ("size", "n"), ("pos", "pos"))))
+    early = F.col(f"{s}_pos") < F.col(f"{s}_n") - _need(F.col(f"{s}_n"), F.col(f"lo_{other}"), t) + AHEAD
+    theirs = F.col(f"at_{other}") < F.col(f"hi_{other}") - _need(F.col(f"{s}_n"), F.col(f"lo_{other}"), t) + AHEAD
+    near = both_have.join(who, [leader, "token"]).where((F.col("dab") - F.col(f"{s}_d") - F.col(radius) <= slack) & early & theirs)
+    return near.select("a", "b", "token", "dab", f"{s}_node", f"{s}_d", f"{s}_n", f"{s}_pos")
+
+
 def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, text_hash, n_shingles, node (class of equal sets), group (a node of its component), component_id (least doc_id reachable by links)."""
     t = percent
@@ -320,17 +335,19 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     # Members of undecided leader pairs that are far enough from their leader for a link by the triangle inequality. They
     # meet on shingles that members of both leaders have, so entries are first matched with those, not with all pairs.
-    both_have = open_pairs.join(of_a, "a").join(of_b, ["b", "token"])
+    extent = lambda s, leader: entries.select(F.col("leader").alias(leader), "token", F.col("pos").alias(f"at_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
+    both_have = open_pairs.join(extent("x", "a"), "a").join(extent("y", "b"), ["b", "token"])
     whose = lists.join(known.select("node", "leader", "d"), "node").select("token", "leader", "node", "d", F.col("n").alias("size"), "pos")
-
-    def members(s: str, leader: str, other: str) -> DataFrame:
-        who = whose.select("token", F.col("leader").alias(leader), *(F.col(c).alias(f"{s}_{k}") for c, k in (("node", "node"), ("d", "d"), ("size", "n"), ("pos", "pos"))))
-        near = both_have.select("a", "b", "dab", "token", other).join(who, [leader, "token"]).where(F.col("dab") - F.col(f"{s}_d") - F.col(other) <= slack)
-        return near.select("a", "b", "token", "dab", f"{s}_node", f"{s}_d", f"{s}_n", f"{s}_pos")
-
-    fine = members("x", "a", "rb").join(members("y", "b", "ra").drop("dab"), ["a", "b", "token"]).where((F.col("dab") - F.col("x_d") - F.col("y_d") <= slack) & _reachable(t, "x_n", "x_pos", "y_n", "y_pos"))
-    fine = fine.groupBy("x_node", "y_node").agg(F.count("*").alias("lists"), F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
-    fine = fine.where(F.col("lists") >= _need(F.col("x_n"), F.col("y_n"), t) - at_least(F.greatest("x_n", "y_n"), t) + 1).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    x_side = _near_members(both_have, whose, "x", "y", t)
+    fine = x_side.join(_near_members(both_have, whose, "y", "x", t).drop("dab"), ["a", "b", "token"]).where((F.col("dab") - F.col("x_d") - F.col("y_d") <= slack) & _reachable(t, "x_n", "x_pos", "y_n", "y_pos"))
+    least = _need(F.col("x_n"), F.col("y_n"), t)
+    fine = fine.where((F.col("x_pos") < F.col("x_n") - least + AHEAD) & (F.col("y_pos") < F.col("y_n") - least + AHEAD))
+    share = F.least(F.lit(AHEAD), least + 1 - at_least(F.col("x_n"), t), least + 1 - at_least(F.col("y_n"), t))
+    fine = fine.groupBy("x_node", "y_node").agg(F.count("*").alias("early"), F.first(share).alias("share"), F.first(least - at_least(F.greatest("x_n", "y_n"), t) + 1).alias("least"))
+    fine = staged(fine.where("early >= share").select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "least"), "ngram-fine")
+    # Those few are counted over their whole prefixes.
+    of = lambda s: lists.select(F.col("node").alias(s), "token")
+    fine = fine.join(of("a"), "a").join(of("b"), ["b", "token"]).groupBy("a", "b").agg(F.count("*").alias("lists"), F.first("least").alias("least")).where("lists >= least").select("a", "b")
     more = _overlaps(fine, docs, nodes, n).where(_linked(t)).select("a", "b")
 
     final = connected_components(answers.select("a", "b").union(linked).union(more))
