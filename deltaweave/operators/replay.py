@@ -1,8 +1,9 @@
 """Operators on delta logs: Z-sets with an epoch column, each row a change at its epoch.
 
 Linear operators carry the epoch along. A join is bilinear, so a pair of changes meets at the later of their epochs. ``distinct``
-and ``antijoin`` follow running weights by key. The others compare states: the log is expanded to the state at every epoch
-that changes something, the plain operator runs with the epoch as context, and consecutive results are subtracted.
+and ``antijoin`` follow running weights by key; aggregates that add up (counts, averages, sums but of doubles) are prefix sums by
+group. The others compare states: the log is expanded to the state at every epoch that changes something, the plain operator runs
+with the epoch as context, and consecutive results are subtracted.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.aggregates import Aggregate
+from ..functions.aggregates import Aggregate, _exact, _floor_div
 from .zset import W, ZSet
 
 E = "__e"
@@ -99,8 +101,52 @@ def state_at(z: ZSet, epochs: DataFrame) -> ZSet:
     return ZSet(held.withColumnRenamed("__at", E).select(E, *z.cols, W), z.cols, False, (E,), True)
 
 
+def _adds_up(z: ZSet, aggs: dict[str, Aggregate]) -> bool:
+    """Are all aggregates exact sums over the rows, whatever their order? Sums of doubles are not."""
+    if any(a.kind not in ("sum", "count", "avg") for a in aggs.values()):
+        return False
+    summed = [a.argument for a in aggs.values() if a.kind == "sum"]
+    return not any(isinstance(f.dataType, (T.DoubleType, T.FloatType)) for f in z.df.select(*summed).schema)
+
+
+def _running(z: ZSet, aggs: dict[str, Aggregate], by: Sequence[str], result: dict[str, Column] | None, drop: Column | None) -> ZSet:
+    """Aggregates that add up, as prefix sums: what a value adds to its group changes with its running weight, and what its
+    values add is summed by group and epoch before it is summed along the epochs."""
+    keys = z._keys(by)
+    per = z.weighted().groupBy(E, *z.cols).agg(F.sum(W).alias(W)).where(F.col(W) != 0)
+    before = F.coalesce(F.sum(W).over(Window.partitionBy(*z.cols).orderBy(E).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("__before", before)
+    was, now = F.col("__before"), F.col("__before") + F.col(W)
+    live = (now != 0).cast("long") - (was != 0).cast("long")
+    adds = {"__n": live}
+    for i, a in enumerate(aggs.values()):
+        x = a.argument
+        if a.kind == "count":
+            adds[f"__s{i}"] = F.col(W)
+            continue
+        v = _exact(x, a.type) if a.kind == "sum" else x.cast("decimal(38,0)")
+        adds[f"__s{i}"] = v * now - v * was
+        adds[f"__c{i}"] = F.when(x.isNotNull(), live if a.kind == "sum" else F.col(W)).otherwise(0)
+    sums = per.select(*keys, *(c.alias(n) for n, c in adds.items())).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in adds))
+    along = Window.partitionBy(*by).orderBy(E)
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One row per group and epoch.
+    sums = sums.select(*keys, *(F.sum(n).over(so_far).alias(n) for n in adds), F.lead(E).over(along).alias("__next")).where(F.col("__n") != 0)
+    made = {}
+    for i, a in enumerate(aggs.values()):
+        s, c = F.col(f"__s{i}"), F.col(f"__c{i}")
+        made[f"__a{i}"] = s if a.kind == "count" else F.when(c != 0, s if a.kind == "sum" else _floor_div(s, c))
+    spans = ZSet(sums.select(*keys, "__next", *(c.alias(n) for n, c in made.items())), z.cols, True, (E, "__next"))
+    out = spans._reported(spans.df, [*keys, "__next"], by, aggs, result, drop)
+    starts = out.df.select(E, *out.cols, F.lit(1).cast("long").alias(W))
+    ends = out.df.where(F.col("__next").isNotNull()).select(F.col("__next").alias(E), *out.cols, F.lit(-1).cast("long").alias(W))
+    return ZSet(starts.unionByName(ends), out.cols, False, (E,)).norm()
+
+
 def aggregate(z: ZSet, aggs: dict[str, Aggregate], by: Sequence[str], result: dict[str, Column] | None = None, drop: Column | None = None) -> ZSet:
-    """Only the epochs at which a group changes are evaluated for it."""
+    """Only the epochs at which a group changes are evaluated for it; sums, counts and averages run on from epoch to epoch."""
+    if _adds_up(z, aggs):
+        return _running(z, aggs, by, result, drop)
     if not by:
         return by_epoch([z], lambda s: s.aggregate(aggs, by, result, drop))
     z._keys(by)

@@ -212,6 +212,10 @@ class ZSet:
                 for j, k in enumerate(keys):
                     cond = cond & out[k].eqNullSafe(x[f"__k{j}"])
                 out = out.join(x, cond, "left").drop(*(f"__k{j}" for j in range(len(keys))))
+        return self._reported(out, keys, by, aggs, result, drop)
+
+    def _reported(self, out: DataFrame, keys: Sequence[str], by: Sequence[str], aggs: dict[str, Aggregate], result: dict[str, Column] | None, drop: Column | None) -> ZSet:
+        """Groups (keys, ``__a0``, ``__a1``, ...) as rows of the result."""
         named = {n: finish(a, F.col(f"__a{i}")) for i, (n, a) in enumerate(aggs.items())}
         for i, a in enumerate(aggs.values()):
             if a.may_be_missing:
